@@ -6,22 +6,58 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe
+from tapeloom.llm import backoff, bpe, jaccard
 from tapeloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff.scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(-F.col("score") / F.greatest(F.col("n_words"), F.lit(1)), 4).alias("nats_per_word"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), VOCABULARY)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op3_stupid_backoff": op3_stupid_backoff,
         "op4_byte_bpe": op4_byte_bpe,
+        "op6_jaccard_join": op6_jaccard_join,
     }
 
 
+OP3_SQL = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+pos AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM words),
+grams AS (
+  SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM pos),
+c1 AS (SELECT w, count(*) AS n FROM grams GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM grams WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM grams WHERE u IS NOT NULL GROUP BY u, v, w),
+total AS (SELECT count(*)::DOUBLE AS n FROM grams),
+p AS (
+  SELECT g.doc_id, CASE
+      WHEN c3.n >= 2 THEN c3.n::DOUBLE / h2.n
+      WHEN c2.n >= 2 THEN (CASE WHEN g.u IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END) * c2.n / h1.n
+      ELSE (CASE WHEN g.u IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END) * (CASE WHEN g.v IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END) * c1.n / (SELECT n FROM total) END AS s
+  FROM grams g JOIN c1 ON c1.w = g.w
+  LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN c1 h1 ON h1.w = g.v
+  LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w LEFT JOIN c2 h2 ON h2.v = g.u AND h2.w = g.v),
+s AS (SELECT doc_id, count(*) AS n, sum(ln(s)) AS score FROM p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(coalesce(s.score, 0), 4) AS score, round(-coalesce(s.score, 0) / greatest(coalesce(s.n, 0), 1), 4) AS nats_per_word
+FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_stupid_backoff": OP3_SQL}
