@@ -6,12 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import backoff, bpe, jaccard
+from tapeloom.llm import backoff, bpe, jaccard, pii, secrets
 from tapeloom.llm.common import table
+from tapeloom.llm.spans import listed
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def _counts(kinds: tuple[str, ...]) -> list:
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [count(k) for k in kinds]
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *_counts(secrets.KINDS[:3]), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *_counts(pii.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backoff.scores(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(-F.col("score") / F.greatest(F.col("n_words"), F.lit(1)), 4).alias("nats_per_word"))
@@ -28,9 +46,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_secrets": op1_secrets,
         "op3_stupid_backoff": op3_stupid_backoff,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_jaccard_join": op6_jaccard_join,
+        "op10_pii": op10_pii,
     }
 
 
