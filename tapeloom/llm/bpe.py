@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from tapeloom.llm import blocks as B
 from tapeloom.llm import hashing
+from tapeloom.llm.hashing import gather
 
 #: Unicode's White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -148,12 +149,6 @@ def _serve(ranks):
     return f
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """flat[start : start + count] of each pair, one after another."""
-    ends = np.cumsum(counts, dtype=np.int64)
-    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 _BYTES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 

@@ -81,19 +81,21 @@ def trusted(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     return patterns.filter(F.col("s") >= PATTERN_LEAST).select("pattern"), known.filter(F.col("r") >= INSTANCE_LEAST).select("value")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, base and spans (both by kind, then start). ``keep`` names columns to carry."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, base and spans (both by kind, then start); with ``carry`` also doc, a
+    struct of all the input's columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep or []]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), *kept, base_spans(text).alias("base"), _instances(text).alias("instances"))
-    slim = lambda a: F.transform(a, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    own = ["doc"] if carry else []
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), *([F.struct(*docs.columns).alias("doc")] if carry else []), base_spans(text).alias("base"), _instances(text).alias("instances"))
+    slim = F.transform("base", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     seeded = F.transform("instances", lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), i["value"].alias("value"), i["pattern"].alias("pattern"), F.exists("base", lambda b: (b["start"] < i["end"]) & (i["start"] < b["end"])).cast("int").alias("seed")))
-    rows = cut(rows.select("_row", "doc_id", *(f"_keep_{c}" for c in keep or []), F.sort_array(slim(F.col("base"))).alias("base"), seeded.alias("instances")))
+    rows = cut(rows.select("_row", "doc_id", *own, F.sort_array(slim).alias("base"), seeded.alias("instances")))
     each = rows.filter(F.size("instances") > 0).select("_row", F.explode("instances").alias("i")).select("_row", "i.*")
     graph = cut(each.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
     patterns, values = trusted(graph)
     new = each.filter("seed = 0 AND pattern != ''").join(patterns, "pattern", "left_semi").join(values, "value", "left_semi")
     new = new.groupBy("_row").agg(F.collect_list(F.struct(F.lit(4).alias("rank"), "start", "end", F.lit("id").alias("kind"))).alias("new"))
-    out = rows.join(new, "_row", "left")
-    both = F.sort_array(F.concat("base", F.coalesce("new", F.expr("cast(array() as array<struct<rank:int,start:bigint,end:bigint,kind:string>>)"))))
-    return out.select("doc_id", *(F.col(f"_keep_{c}").alias(c) for c in keep or []), "base", both.alias("spans"))
+    # only rows with instances can have new spans: the others, with all they carry, stay where they are
+    none = F.expr("cast(array() as array<struct<rank:int,start:bigint,end:bigint,kind:string>>)")
+    some = rows.filter(F.size("instances") > 0).join(new, "_row", "left").select("doc_id", *own, "base", F.sort_array(F.concat("base", F.coalesce("new", none))).alias("spans"))
+    return some.union(rows.filter(F.size("instances") == 0).select("doc_id", *own, "base", F.col("base").alias("spans")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import backoff, bpe, jaccard, pii, secrets
+from tapeloom.llm import backoff, bpe, decontaminate, jaccard, ordinal, pii, secrets, toxicity
 from tapeloom.llm.common import table
 from tapeloom.llm.spans import listed
 
@@ -25,6 +25,23 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *_counts(secrets.KINDS[:3]), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.train(docs, table(spark, sf_dir, "labels"))
+    return ordinal.rate(docs, model).select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail", 6).alias("tail"), (F.col("tail") >= 0.5).alias("kept"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=fold != 0)
+    return toxicity.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *_counts(pii.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
@@ -47,9 +64,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_secrets": op1_secrets,
+        "op2_quality": op2_quality,
         "op3_stupid_backoff": op3_stupid_backoff,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_jaccard_join": op6_jaccard_join,
+        "op8_toxicity": op8_toxicity,
+        "op9_decontamination": op9_decontamination,
         "op10_pii": op10_pii,
     }
 
