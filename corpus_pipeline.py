@@ -1,23 +1,57 @@
 """A cleaning pipeline over documents. STAGES are (name, function) pairs; each function takes
 (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs."""
+one's docs. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe
+from tapeloom.llm import bpe, decontaminate, jaccard, ordinal, pii
 from tapeloom.llm.common import cut, table
 from tapeloom.llm.queries import VOCABULARY
+from tapeloom.llm.spans import redacted
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that are likelier of the lowest grade than not."""
+    return ordinal.select_documents(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that links reach: that of the smallest id, once. A null id stays."""
+    kept = jaccard.similarity_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.union(docs.filter("doc_id IS NULL")).select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a test item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts each span's kind in its place."""
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = F.when(F.size("spans") > 0, redacted(F.col("doc.text"), by_start)).otherwise(F.col("doc.text"))
+    new = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))}
+    return pii.scan(docs, carry=True).select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded."""
     return bpe.encode_decode(docs, VOCABULARY)
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("PII", personal_data),
+    ("byte-level BPE", encode),
+]
 
-#: The stages are learned, iterative or byte-exact; SQL can't express them.
+#: The stages are learned, iterative or byte-exact: SQL can't express them.
 ORACLE_SQL = None
 
 
