@@ -648,3 +648,102 @@ def static_sweep(spark, d):
     w = W.partitionBy("supp", "side").orderBy(near, "ref", "line", "part", "qty").rowsBetween(W.unboundedPreceding, -1)
     f = view(spark, d, "fx_fill").withColumn("ahead", F.coalesce(F.sum("qty").over(w), F.lit(0)))
     return f.withColumn("taken", F.greatest(F.least(F.col("qty"), 500 - F.col("ahead")), F.lit(0))).filter("taken > 0").select("supp", "side", "ref", "line", "part", "taken")
+
+
+# --- frames -----------------------------------------------------------------------------------------------
+
+
+@query("decode_frames", duck("fx_msg") + """SELECT seq, locate::INT AS locate, ts_ns % 281474976710656 AS ts_ns, type, order_ref, CASE WHEN type = 'A' THEN side END AS side, CASE WHEN type <> 'D' THEN shares END AS shares,
+ CASE WHEN type = 'A' THEN 'SYM' || locate END AS stock, CASE WHEN type IN ('A', 'C') THEN price END AS price, CASE WHEN type IN ('E', 'C') THEN seq END AS match_number, CASE WHEN type = 'C' THEN true END AS printable, NULL::VARCHAR AS decode_error
+FROM fx_msg WHERE type <> 'I'""")
+def decode_frames(spark, d):
+    """Every message as a frame and back: encoding and decoding, by SQL functions."""
+    from tapeloom.sources import wire
+
+    m = view(spark, d, "fx_msg").filter("type <> 'I'").withColumns({"match_number": F.col("seq"), "stock": F.concat(F.lit("SYM"), F.col("locate")), "printable": F.lit(True), "ts_ns": F.col("ts_ns") % 2**48})
+    frames = wire.encode(m).select("seq", "type", "frame")
+    return wire.decode(frames, ("A", "E", "C", "X", "D")).select("seq", "locate", "ts_ns", "type", "order_ref", "side", "shares", "stock", "price", "match_number", "printable", "decode_error")
+
+
+@query("decode_session", duck("fx_sess") + """SELECT seq, CASE WHEN kind = 'I' THEN 'I' ELSE 'S' END AS type, locate::INT AS locate, CASE WHEN kind = 'I' THEN paired END AS paired, CASE WHEN kind = 'I' THEN imbalance END AS imbalance,
+ CASE WHEN kind = 'I' THEN direction END AS direction, CASE WHEN kind = 'I' THEN near END AS near, CASE WHEN kind <> 'I' THEN kind END AS code FROM fx_sess""")
+def decode_session(spark, d):
+    from tapeloom.sources import wire
+
+    m = view(spark, d, "fx_sess").withColumn("code", F.col("kind")).withColumn("type", F.when(F.col("kind") == "I", "I").otherwise("S")).withColumn("ts_ns", F.col("ts_ns") % 2**48)
+    return wire.decode(wire.encode(m).select("seq", "type", "frame"), ("I", "S")).select("seq", "type", "locate", "paired", "imbalance", "direction", "near", "code")
+
+
+# --- simulations: one group each, no SQL says them ----------------------------------------------------------
+
+
+def _scripts(spark, d):
+    kind = F.when(F.col("type") == "A", "ext_add").when(F.col("type").isin("E", "C"), "trade").when(F.col("type") == "I", "strat_limit").when(F.col("type") == "X", "strat_ioc")
+    level = 100000 + 100 * (F.col("order_ref") % 41)
+    price = F.when(F.col("type") == "I", level).otherwise(level + F.when(F.col("side") == "B", -2000).otherwise(2000))
+    side = F.when(F.col("type").isin("E", "C"), F.when(F.col("side") == "B", "S").otherwise("B")).otherwise(F.col("side"))
+    rows = view(spark, d, "fx_msg").withColumn("kind", kind).filter("kind is not null")
+    return rows.select((F.col("order_ref") % 5).alias("run"), F.col("seq").alias("line_no"), "kind", F.col("seq").alias("ts_ns"), side.alias("side"), price.alias("price_ticks"), F.col("shares").alias("qty"), (F.col("seq") + 1).alias("ref"), F.lit("none").alias("peg"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("hidden"))
+
+
+def _config():
+    from tapeloom.operators.simulator import Config
+
+    return Config(maker_fee_bps=-2, taker_fee_bps=5)
+
+
+@query("sim_events")
+def sim_events(spark, d):
+    from tapeloom.operators import runs
+
+    return runs.script_events(_scripts(spark, d), _config())
+
+
+@query("sim_summary")
+def sim_summary(spark, d):
+    from tapeloom.operators import runs
+
+    return runs.script_summary(_scripts(spark, d), _config())
+
+
+@query("sim_grid")
+def sim_grid(spark, d):
+    from tapeloom.operators import runs
+
+    return runs.grid_summary(_scripts(spark, d), discovery.grid(spark, {"maker_fee_bps": "-2,0", "wire_ns": "0..100:50"}), _config())
+
+
+@query("sim_portfolio")
+def sim_portfolio(spark, d):
+    from tapeloom.operators import runs
+
+    return runs.portfolio(runs.script_summary(_scripts(spark, d), _config()))
+
+
+@query("time_travel")
+def time_travel(spark, d):
+    from tapeloom.operators import runs
+
+    return runs.at_step(_scripts(spark, d), 2000, _config())
+
+
+@query("time_travel_fork")
+def time_travel_fork(spark, d):
+    from tapeloom.operators import runs
+
+    s = _scripts(spark, d)
+    return runs.script_summary(s.unionByName(runs.fork(s, 2000, s.filter("kind <> 'trade'"), 1000)), _config())
+
+
+@query("book_fold", FOLD + "SELECT locate, seq, CASE WHEN status = 'ok' OR status = 'none' THEN 'none' ELSE status END AS error FROM fold")
+def book_fold(spark, d):
+    from tapeloom.operators import runs
+
+    return runs.book_fold(view(spark, d, "fx_msg")).select("locate", "seq", "error")
+
+
+@query("sim_tearsheet")
+def sim_tearsheet(spark, d):
+    from tapeloom.operators import runs
+
+    return tearsheet.scalars(runs.script_events(_scripts(spark, d), _config()))
