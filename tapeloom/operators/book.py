@@ -97,6 +97,7 @@ class Book:
         return "none"
 
     def remove(self, ref: int) -> str:
+        self.deltas = []
         return self.reduce(ref, self.orders[ref][2]) if ref in self.orders else "unknown_order"
 
     def replace(self, old: int, new: int, qty: int, price: int) -> str:

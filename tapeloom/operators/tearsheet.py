@@ -13,7 +13,10 @@ from tapeloom.operators import asof
 
 HORIZONS_NS = (1_000_000, 10_000_000, 100_000_000)
 TELEMETRY_NS = (1_000, 10_000, 100_000)
-FILL = F.col("type") == "F"
+
+
+def _fill() -> Column:
+    return F.col("type") == "F"
 
 
 def signed_qty() -> Column:
@@ -28,20 +31,20 @@ def scalars(log: DataFrame) -> DataFrame:
     """Counts, quantities, volume, fees by ledger, inventory, cash, hit rate, final mid and equity, in one pass.
     A sell whose mid is unknown (0) counts as a hit though it isn't measurable, so the rate can exceed 1."""
     buy = F.col("side") == "B"
-    hit = FILL & F.when(buy, F.col("mid_ticks") > F.col("price_ticks")).otherwise(F.col("mid_ticks") < F.col("price_ticks"))
-    measurable = FILL & (F.col("mid_ticks") > 0) & (F.col("mid_ticks") != F.col("price_ticks"))
-    fee = lambda ledger: _sum(F.when(FILL & (F.col("ledger") == ledger), F.col("fee_cash")))
+    hit = _fill() & F.when(buy, F.col("mid_ticks") > F.col("price_ticks")).otherwise(F.col("mid_ticks") < F.col("price_ticks"))
+    measurable = _fill() & (F.col("mid_ticks") > 0) & (F.col("mid_ticks") != F.col("price_ticks"))
+    fee = lambda ledger: _sum(F.when(_fill() & (F.col("ledger") == ledger), F.col("fee_cash")))
     out = log.groupBy("run").agg(
-        F.count_if(FILL).alias("fills"),
+        F.count_if(_fill()).alias("fills"),
         F.count_if(F.col("type") == "P").alias("prints"),
-        _sum(F.when(FILL & buy, F.col("qty"))).alias("buy_qty"),
-        _sum(F.when(FILL & (F.col("side") == "S"), F.col("qty"))).alias("sell_qty"),
-        _sum(F.when(FILL, F.col("price_ticks") * F.col("qty"))).alias("volume_ticks"),
-        _sum(F.when(FILL, F.col("fee_cash"))).alias("fees_cash"),
+        _sum(F.when(_fill() & buy, F.col("qty"))).alias("buy_qty"),
+        _sum(F.when(_fill() & (F.col("side") == "S"), F.col("qty"))).alias("sell_qty"),
+        _sum(F.when(_fill(), F.col("price_ticks") * F.col("qty"))).alias("volume_ticks"),
+        _sum(F.when(_fill(), F.col("fee_cash"))).alias("fees_cash"),
         fee("M").alias("fees_maker_cash"),
         fee("T").alias("fees_taker_cash"),
-        _sum(F.when(FILL, signed_qty())).alias("final_inventory"),
-        _sum(F.when(FILL, -signed_qty() * F.col("price_ticks"))).alias("cash_pnl_ticks"),
+        _sum(F.when(_fill(), signed_qty())).alias("final_inventory"),
+        _sum(F.when(_fill(), -signed_qty() * F.col("price_ticks"))).alias("cash_pnl_ticks"),
         F.coalesce(F.max_by("mid_ticks", F.when(F.col("mid_ticks") > 0, F.col("seq"))), F.lit(0)).alias("final_mid_ticks"),
         F.count_if(hit).alias("hits"),
         F.count_if(measurable).alias("measurable"),
@@ -56,8 +59,8 @@ def equity(log: DataFrame) -> DataFrame:
     w = W.partitionBy("run").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("run")
     last = F.coalesce(F.max_by("mid_ticks", F.when(F.col("mid_ticks") > 0, F.col("seq"))).over(whole), F.lit(0))
-    flow = F.when(FILL, -signed_qty() * F.col("price_ticks")).otherwise(F.lit(0))
-    rows = log.withColumn("cash", F.sum(flow).over(w)).withColumn("inventory", F.sum(F.when(FILL, signed_qty()).otherwise(F.lit(0))).over(w))
+    flow = F.when(_fill(), -signed_qty() * F.col("price_ticks")).otherwise(F.lit(0))
+    rows = log.withColumn("cash", F.sum(flow).over(w)).withColumn("inventory", F.sum(F.when(_fill(), signed_qty()).otherwise(F.lit(0))).over(w))
     rows = rows.withColumn("equity", F.col("cash") + F.col("inventory") * F.when(F.col("mid_ticks") > 0, F.col("mid_ticks")).otherwise(last))
     return rows.withColumn("peak", F.greatest(F.lit(0), F.max("equity").over(w))).select("run", "seq", "cash", "inventory", "equity", "peak")
 
@@ -69,7 +72,7 @@ def drawdown(curve: DataFrame) -> DataFrame:
 
 
 def _targets(log: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    fills = log.filter(FILL & (F.col("price_ticks") > 0)).select("run", "seq", "side", F.col("price_ticks").alias("px"), "mid_ticks", F.explode(F.array(*(F.lit(h).cast("long") for h in horizons))).alias("horizon_ns"), "ts_ns")
+    fills = log.filter(_fill() & (F.col("price_ticks") > 0)).select("run", "seq", "side", F.col("price_ticks").alias("px"), "mid_ticks", F.explode(F.array(*(F.lit(h).cast("long") for h in horizons))).alias("horizon_ns"), "ts_ns")
     fills = fills.withColumn("target_ns", F.col("ts_ns") + F.col("horizon_ns"))
     return fills
 
@@ -94,13 +97,13 @@ def tick_markouts(log: DataFrame, horizons: tuple[int, ...] = TELEMETRY_NS, buck
 def account(log: DataFrame) -> DataFrame:
     """Running cash net of fees, inventory and fees after every fill."""
     w = W.partitionBy("run").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return log.filter(FILL).select("run", "seq", F.sum(-signed_qty() * F.col("price_ticks") - F.col("fee_cash")).over(w).alias("net_cash"), F.sum(signed_qty()).over(w).alias("inventory"), F.sum("fee_cash").over(w).alias("fees"))
+    return log.filter(_fill()).select("run", "seq", F.sum(-signed_qty() * F.col("price_ticks") - F.col("fee_cash")).over(w).alias("net_cash"), F.sum(signed_qty()).over(w).alias("inventory"), F.sum("fee_cash").over(w).alias("fees"))
 
 
 def latency_histogram(log: DataFrame) -> DataFrame:
     """Taker latencies (ts - submit) in buckets of powers of two: 0 below 16 ns, then floor(log2) - 4, 31 at most."""
     lag = F.col("ts_ns") - F.col("submit_ns")
-    rows = log.filter(FILL & (F.col("submit_ns") > 0) & (lag >= 0)).select("run", lag.alias("latency"))
+    rows = log.filter(_fill() & (F.col("submit_ns") > 0) & (lag >= 0)).select("run", lag.alias("latency"))
     bits = F.length(F.bin("latency")) - 1  # exact at powers of two, unlike a logarithm
     bucket = F.when(F.col("latency") < 16, 0).otherwise(F.least(bits - 4, F.lit(31))).cast("long")
     return rows.groupBy("run", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("latency").alias("largest"))
@@ -109,7 +112,7 @@ def latency_histogram(log: DataFrame) -> DataFrame:
 def latency_fit(log: DataFrame, least: int = 8) -> DataFrame:
     """Mean, population deviation and the shape that their ratio suggests, with at least ``least`` samples."""
     lag = F.col("ts_ns") - F.col("submit_ns")
-    rows = log.filter(FILL & (F.col("ledger") == "T") & (F.col("submit_ns") > 0) & (lag >= 0))
+    rows = log.filter(_fill() & (F.col("ledger") == "T") & (F.col("submit_ns") > 0) & (lag >= 0))
     out = rows.groupBy("run").agg(F.count("*").alias("n"), F.avg(lag).alias("mean"), F.stddev_pop(lag).alias("sd")).filter(F.col("n") >= least)
     ratio = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(F.lit(0.0))
     shape = F.when(F.abs(ratio - 1) < 0.25, "exponential").when(F.abs(ratio - 0.577) < 0.15, "uniform").otherwise("normal")
