@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, salted_join
-from tapeloom.llm.spans import found
+from tapeloom.llm.spans import bound, found
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -24,7 +24,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 INSTANCE = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._-]{0,30}[0-9])[A-Za-z0-9][A-Za-z0-9._-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@])"
 CONTEXT = 48
-TURNS, PATTERN_LEAST, SEEDS_LEAST, INSTANCE_LEAST = 3, 0.8, 5, 0.6
+TURNS, PATTERN_LEAST, SEEDS_LEAST, INSTANCE_LEAST = 3, 0.5, 5, 0.4
 
 
 def _digits(v: Column) -> Column:
@@ -62,21 +62,37 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _instances(text: Column) -> Column:
-    """Identifier-like tokens with the word to their left."""
+def _instances(text: Column, base: Column) -> Column:
+    """Base entities (the seeds) and the identifier-like tokens outside them, with the word to their left."""
     left = lambda s: F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int"))
-    spans = found(text, "id", 4, INSTANCE, text.rlike("[0-9]"))
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value"), F.lower(F.regexp_extract(left(s), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("pattern")))
 
+    def node(s: Column, seed: int) -> Column:
+        word = F.lower(F.regexp_extract(left(s), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value"), word.alias("pattern"), F.lit(seed).alias("seed"))
 
-def trusted(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """graph(pattern, value, seed, n): patterns and values that the turns over it trust."""
+    def around(b: Column) -> Column:
+        tokens = F.filter(found(text, "id", 4, INSTANCE, text.rlike("[0-9]")), lambda t: ~F.exists(b, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
+        return F.concat(F.transform(b, lambda s: node(s, 1)), F.transform(tokens, lambda s: node(s, 0)))
+
+    def counted(ns: Column) -> Column:
+        """How often the text holds each instance's left word at all."""
+        with_words = lambda ws: F.transform(ns, lambda n: n.withField("occurs", (F.size(ws) - F.size(F.array_remove(ws, n["pattern"]))).cast("long")))
+        return F.when(F.size(ns) > 0, bound(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), with_words))
+
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,pattern:string,seed:int,occurs:bigint>>)")
+    return F.coalesce(bound(bound(base, around), counted), none)
+
+
+def trusted(graph: DataFrame, occurs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """graph(pattern, value, seed, n), occurs(pattern, occurs): patterns and values that the turns over it trust.
+    A pattern's score is the trust of what follows it over all its occurrences, so common words score low."""
     known = graph.groupBy("value").agg(F.max("seed").cast("double").alias("r"))
     for _ in range(TURNS):
         scored = salted_join(graph, known, "value", F.col("pattern"))
-        patterns = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("s"), F.sum("seed").alias("seeds"))
-        patterns = patterns.withColumn("s", F.when(F.col("seeds") >= SEEDS_LEAST, F.col("s")).otherwise(0.0))
-        back = salted_join(graph, patterns.select("pattern", "s"), "pattern", F.col("value"))
+        patterns = scored.groupBy("pattern").agg(F.sum(F.col("n") * F.col("r")).alias("trust"), F.sum("n").alias("n"), F.sum("seed").alias("seeds")).join(occurs, "pattern")
+        score = F.when(F.col("seeds") >= SEEDS_LEAST, F.col("trust") / F.greatest("n", "occurs")).otherwise(0.0)
+        patterns = patterns.select("pattern", score.alias("s"))
+        back = salted_join(graph, patterns, "pattern", F.col("value"))
         known = cut(back.groupBy("value").agg(F.when(F.max("seed") == 1, 1.0).otherwise(F.sum(F.col("n") * F.col("s")) / F.sum("n")).alias("r")))
     return patterns.filter(F.col("s") >= PATTERN_LEAST).select("pattern"), known.filter(F.col("r") >= INSTANCE_LEAST).select("value")
 
@@ -86,13 +102,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     struct of all the input's columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = ["doc"] if carry else []
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), *([F.struct(*docs.columns).alias("doc")] if carry else []), base_spans(text).alias("base"), _instances(text).alias("instances"))
-    slim = F.transform("base", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    seeded = F.transform("instances", lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), i["value"].alias("value"), i["pattern"].alias("pattern"), F.exists("base", lambda b: (b["start"] < i["end"]) & (i["start"] < b["end"])).cast("int").alias("seed")))
-    rows = cut(rows.select("_row", "doc_id", *own, F.sort_array(slim).alias("base"), seeded.alias("instances")))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), *([F.struct(*docs.columns).alias("doc")] if carry else []), bound(base_spans(text), lambda b: F.struct(b.alias("base"), _instances(text, b).alias("instances"))).alias("s"))
+    slim = F.transform("s.base", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    rows = cut(rows.select("_row", "doc_id", *own, F.sort_array(slim).alias("base"), F.col("s.instances").alias("instances")))
     each = rows.filter(F.size("instances") > 0).select("_row", F.explode("instances").alias("i")).select("_row", "i.*")
     graph = cut(each.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
-    patterns, values = trusted(graph)
+    occurs = each.groupBy("_row", "pattern").agg(F.max("occurs").alias("occurs")).groupBy("pattern").agg(F.sum("occurs").alias("occurs"))
+    patterns, values = trusted(graph, cut(occurs))
     new = each.filter("seed = 0 AND pattern != ''").join(patterns, "pattern", "left_semi").join(values, "value", "left_semi")
     new = new.groupBy("_row").agg(F.collect_list(F.struct(F.lit(4).alias("rank"), "start", "end", F.lit("id").alias("kind"))).alias("new"))
     # only rows with instances can have new spans: the others, with all they carry, stay where they are
