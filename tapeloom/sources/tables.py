@@ -123,3 +123,27 @@ def corpus(seed: int, count: int, center: int = 0, span: int = 10_000_000, first
         ref += kind in "AFECU"
         out.append(m)
     return out
+
+
+def read_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Daily bars from a file: symbol, day, and low and high in ticks."""
+    raw = spark.read.csv(path, schema="symbol string, day date, low decimal(18,6), high decimal(18,6)", header=True, enforceSchema=False, mode="FAILFAST")
+    ticks = lambda c: F.round(F.col(c) * 10000).cast("long")
+    return raw.select("symbol", "day", ticks("low").alias("bar_low"), ticks("high").alias("bar_high"))
+
+
+def flow(spark: SparkSession, seed: int, count: int, center: int = 100_000, shares: tuple[float, float, float] = (0.40, 0.38, 0.22)) -> DataFrame:
+    """A seeded script of trades, external adds and strategy orders in these shares. Rows are drawn from hashes of
+    their number, so any partition makes its own rows and every cluster makes the same ones."""
+    at = lambda name: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "id"), F.lit(1_000_000)) / 1_000_000
+    kind = F.when(at("kind") < shares[0], "trade").when(at("kind") < shares[0] + shares[1], "ext_add").when(at("type") < 0.5, "strat_limit").otherwise("strat_ioc")
+    side = F.when(at("side") < 0.5, "B").otherwise("S")
+    away = F.floor(at("price") * 20).cast("long") * 100
+    rests = F.col("kind").isin("ext_add", "strat_limit")
+    buys = F.col("side") == "B"
+    rows = spark.range(count).select("id", kind.alias("kind"), side.alias("side"))
+    price = F.lit(center) + F.when(rests == buys, -away).otherwise(away)
+    return rows.select(
+        F.lit(0).cast("long").alias("run"), F.col("id").alias("line_no"), "kind", (F.col("id") * 1000).alias("ts_ns"), "side", price.alias("price_ticks"),
+        (1 + F.floor(at("qty") * 99)).cast("long").alias("qty"), (F.col("id") + 1).alias("ref"), F.lit("none").alias("peg"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("hidden"),
+    )
