@@ -25,7 +25,7 @@ from tapeloom.llm import common
 #: Bytes of stored input a block holds about, and blocks in a partition of the exchange.
 BLOCK_BYTES, BLOCKS_EACH = 2 << 20, 4
 #: Bytes of text that are worked on at once inside a block.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 PACKED = "block int, chunk binary"
 ASKED = "bucket int, block int, payload binary"
 SERVED = "block int, bucket int, payload binary"
@@ -50,6 +50,7 @@ def expand(raw: bytes) -> bytes:
 
 def pack(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
     """Texts (null: empty) dealt over ``blocks`` by a hash of id and text."""
+    common.bounded(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     return dealt.mapInArrow(_pack, PACKED).repartition(max(8, blocks // BLOCKS_EACH), "block")
@@ -112,6 +113,7 @@ def ask(packed: DataFrame, f: Callable[[pa.Table], Iterator[tuple[int, bytes]]])
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         got = list(f(t))
+        common.tidy()
         block = int(key[0].as_py())
         return pa.table({"bucket": pa.array([k for k, _ in got], pa.int32()), "block": pa.array([block] * len(got), pa.int32()), "payload": pa.array([p for _, p in got], pa.binary())})
 
@@ -125,6 +127,7 @@ def serve(asked: DataFrame, f: Callable[[int, list[bytes]], list[bytes]]) -> Dat
         bucket = int(key[0].as_py())
         t = t.sort_by("block")
         out = f(bucket, t.column("payload").to_pylist())
+        common.tidy()
         return pa.table({"block": t.column("block"), "bucket": pa.array([bucket] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, SERVED)
@@ -135,6 +138,8 @@ def answer(packed: DataFrame, served: DataFrame, f: Callable[[pa.Table, dict[int
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        return f(left, got)
+        out = f(left, got)
+        common.tidy()
+        return out
 
     return packed.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(run, schema)

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP_BYTES = 1 << 20
+from tapeloom.llm.common import tidy
+
+STEP_BYTES = 1 << 19
 
 
 def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -25,6 +27,7 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         b = min(n, max(a + 1, int(np.searchsorted(offs, offs[a] + STEP_BYTES, "right")) - 1))
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    tidy()
 
 
 class Lookup:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 2_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +54,27 @@ def _fs(spark, path):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def bounded(spark: SparkSession) -> None:
+    """Rows of an Arrow batch at most: with long texts, the default of 10,000 can be more than a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+@functools.lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Spark keeps Python workers between tasks, several for each core."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
 def input_bytes(df: DataFrame, text_col: str) -> int:
     """Size of the input: the optimizer's figure where it has one, else the texts' bytes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

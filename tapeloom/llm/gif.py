@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import columns
+from tapeloom.llm.common import bounded
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -96,6 +97,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its UTF-8 bytes, padded with 255 to whole frames, as an animated GIF."""
+    bounded(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_store, STORED)
 
 

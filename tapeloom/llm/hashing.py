@@ -29,7 +29,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(21, int(n).bit_length()))
+    return _powers(1 << max(20, int(n).bit_length()))
 
 
 def slices(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -18,22 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import columns, hashing
+from tapeloom.llm.common import bounded
 
 #: Rows of the fit at most; dimensions of the hashed features.
-ROWS, BITS = 12_000, 17
+ROWS, BITS = 8_000, 17
 EPOCHS, RATE, RIDGE = 60, 0.3, 1e-5
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[48:58], _SHAPE[128:] = ord("A"), ord("a"), ord("0"), ord("a")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str, text_col: str, where=None) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled documents, those with the smallest hash of their id. The
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str, text_col: str, where=None) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of at most ``rows`` labelled documents, those with the smallest hash of their id. The
     labels that are joined are as many at most, so they are broadcast."""
     few = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     few = few.filter(where) if where is not None else few
     few = few.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     got = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(few), "_id")
-    return [(r._text, r._y) for r in sorted(got.collect(), key=lambda r: (r._id, r._text))][: 2 * rows]
+    own = got.toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")]).slice(0, 2 * rows)
+    return own.column("_text").combine_chunks().cast(pa.large_string()), own.column("_y").to_numpy()
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,15 +76,17 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - s[:, None], -60, 60)))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    grades = np.array(sorted({y for _, y in rows}))
+def fit(texts: pa.Array, labels: np.ndarray) -> Model:
+    grades = np.unique(labels)
     if len(grades) < 2:
         raise ValueError("the labelled rows have fewer than two grades")
-    y = np.searchsorted(grades, [g for _, g in rows])
-    raw = [t.encode() for t, _ in rows]
-    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    r, f, v = features(np.frombuffer(b"".join(raw), np.uint8), offs)
-    n, k = len(rows), len(grades) - 1
+    y = np.searchsorted(grades, labels)
+    parts = []
+    for at, _, data, offs in columns.steps(texts):
+        r, f, v = features(data, offs)
+        parts.append(((r + at).astype(np.int32), f.astype(np.int32), v.astype(np.float32)))
+    r, f, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    n, k = len(texts), len(grades) - 1
     share = np.clip(np.array([(y > j).mean() for j in range(k)]), 1e-3, 1 - 1e-3)
     theta = np.log((1 - share) / share)
     free = np.append(theta[:1], np.log(np.maximum(np.diff(theta), 1e-3)))  # thresholds stay ordered
@@ -120,11 +124,12 @@ def _rated(model, texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, where=None) -> Model:
-    return fit(sample(docs, labels, label_col, rows, id_col, text_col, where))
+    return fit(*sample(docs, labels, label_col, rows, id_col, text_col, where))
 
 
 def rate(docs: DataFrame, model: Model, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, expected_grade, tail (the probability of ``least`` or better)."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -137,6 +142,7 @@ def rate(docs: DataFrame, model: Model, least: int = 1, id_col: str = "doc_id",
 
 def select_documents(docs: DataFrame, model: Model, least: int = 1, tail: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that reach grade ``least`` with probability ``tail``."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -12,7 +12,7 @@ are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import columns, hashing
+from tapeloom.llm.common import bounded
 from tapeloom.llm.ordinal import sample
 
 ROWS, CALIBRATE = 12_000, 4  # rows of the fit at most; every fourth calibrates
@@ -70,14 +71,17 @@ class _Words:
 
 
 class Lexicon:
-    def __init__(self, texts: list[str], toxic: np.ndarray):
-        counts = Counter(), Counter()
-        for t, y in zip(texts, toxic.tolist(), strict=True):
-            raw = np.frombuffer(t.encode(), np.uint8)
-            w = _Words(raw, np.array([0, len(raw)]))
-            counts[y].update(np.unique(np.concatenate([w.hashes(k)[1] for k in BEGINNINGS])).tolist())
+    def __init__(self, texts: pa.Array, toxic: np.ndarray):
         n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-        odds = {h: float(np.log((c + 0.5) / (n1 + 1)) - np.log((counts[0][h] + 0.5) / (n0 + 1))) for h, c in counts[1].items() if c >= ENTRY_LEAST}
+        # entries come from toxic texts alone; of the others only how many hold those is counted
+        own = self._distinct(texts.filter(pa.array(toxic == 1)))
+        h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        h, c = h[c >= ENTRY_LEAST], c[c >= ENTRY_LEAST]
+        held, lookup = np.zeros(len(h), np.int64), columns.Lookup(h)
+        for some in self._distinct(texts.filter(pa.array(toxic == 0))):
+            at = lookup.find(some)
+            held[at[at >= 0]] += 1
+        odds = dict(zip(h.tolist(), (np.log((c + 0.5) / (n1 + 1)) - np.log((held + 0.5) / (n0 + 1))).tolist(), strict=True))
         best = sorted(((o, h) for h, o in odds.items() if o >= STRENGTHS[0]), reverse=True)[:ENTRIES]
         best.sort(key=lambda x: x[1])
         self.hashes = np.array([h for _, h in best], np.uint64)
@@ -86,6 +90,14 @@ class Lexicon:
         raw = np.frombuffer(person, np.uint8)
         self.person = np.unique(_Words(raw, np.array([0, len(raw)])).hashes(0)[1])
 
+    @staticmethod
+    def _distinct(texts: pa.Array) -> Iterator[np.ndarray]:
+        """Distinct hashes of the words and beginnings of each text."""
+        for raw in texts:
+            data = np.frombuffer(raw.as_buffer(), np.uint8) if raw.is_valid and len(raw.as_buffer()) else np.zeros(0, np.uint8)
+            w = _Words(data, np.array([0, len(data)]))
+            yield np.unique(np.concatenate([w.hashes(k)[1] for k in BEGINNINGS]))
+
 
 NAMES = [*(f"hits_{s:g}" for s in STRENGTHS), *(f"share_{s:g}" for s in STRENGTHS), "odds", "odds_share", "strongest", "person", "near_person", "capitals", "punctuation", "digits", "obfuscated", "obfuscated_hits", "words"]
 
@@ -185,39 +197,39 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, int]]):
-        y = np.array([int(v) for _, v in rows])
+    def __init__(self, texts: pa.Array, labels: np.ndarray):
+        y = (labels > 0).astype(np.int64)
         if not 0 < y.sum() < len(y):
             raise ValueError("the labelled rows are of one class")
-        texts = [t for t, _ in rows]
-        part = np.arange(len(rows)) % CALIBRATE == 0
-        half = (np.arange(len(rows)) // CALIBRATE) % 2 == 0
+        part = np.arange(len(y)) % CALIBRATE == 0
+        half = (np.arange(len(y)) // CALIBRATE) % 2 == 0
+        pick = lambda rows: texts.filter(pa.array(rows))
         # a row's own label must not reach its features: each half of the fitting rows has the lexicon of the other
-        x = np.zeros((len(rows), len(NAMES)))
+        x = np.zeros((len(y), len(NAMES)))
         for own in (~part & half, ~part & ~half):
-            other = np.flatnonzero(~part & ~own)
-            if len(other) and 0 < y[other].sum() < len(other):
-                x[own] = self._all(Lexicon([texts[i] for i in other], y[other]), [texts[i] for i in np.flatnonzero(own)])
+            other = ~part & ~own
+            if other.any() and 0 < y[other].sum() < other.sum():
+                x[own] = self._all(Lexicon(pick(other), y[other]), pick(own))
         self.trees = Trees(x[~part], y[~part])
-        fit = np.flatnonzero(~part)
-        self.lexicon = Lexicon([texts[i] for i in fit], y[fit])
-        self.curve = isotonic(self.trees.raw(self._all(self.lexicon, [texts[i] for i in np.flatnonzero(part)])), y[part])
+        self.lexicon = Lexicon(pick(~part), y[~part])
+        self.curve = isotonic(self.trees.raw(self._all(self.lexicon, pick(part))), y[part])
 
     @staticmethod
-    def _all(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
+    def _all(lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
         lookup = columns.Lookup(lexicon.hashes)
-        return np.concatenate([np.zeros((0, len(NAMES))), *(features(lexicon, lookup, data, offs) for _, _, data, offs in columns.steps(pa.array(texts, pa.large_string())))])
+        return np.concatenate([np.zeros((0, len(NAMES))), *(features(lexicon, lookup, data, offs) for _, _, data, offs in columns.steps(texts))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.trees.raw(x), *self.curve)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, where=None) -> Model:
-    return Model(sample(docs, labels, label_col, rows, id_col, text_col, where))
+    return Model(*sample(docs, labels, label_col, rows, id_col, text_col, where))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
