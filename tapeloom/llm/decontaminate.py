@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import columns, hashing
+from tapeloom.llm.common import bounded
 from tapeloom.llm.hashing import gather
 
 K1, B_LENGTH = 1.2, 0.75
 WINDOW, STRIDE, BLOCKS = 32, 16, 16
-#: A passage must hold so much of an item's own BM25 mass; a document so much of its n-grams.
+#: A passage must hold so much of the BM25 mass of the item's best passage; a document so much of its n-grams.
 RETRIEVE, OVERLAP, NGRAM = 0.3, 0.6, 4
 SHARD_BYTES = 8 << 20
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
@@ -85,7 +86,10 @@ class Index:
             for t, tf in bag.items():
                 idf = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
                 self.weight[place[t], d] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B_LENGTH + B_LENGTH * len(bag) / mean))
-        self.weight /= np.maximum(self.weight.sum(0), 1e-9)
+        for d, (_, t) in enumerate(items):
+            own = np.searchsorted(self.terms, _of(t))
+            most = max(float(self.weight[np.unique(own[a : a + WINDOW]), d].sum()) for a in range(max(1, len(own) - WINDOW + 1)))
+            self.weight[:, d] /= max(most, 1e-9)  # a passage can't hold more of a long item than the item's best passage
         self.cuts = np.unique(np.linspace(0, n, BLOCKS + 1).astype(int))
         self.block_max = np.stack([self.weight[:, a:b].max(1) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)], 1).astype(np.float64) if n else np.zeros((0, 1))
         self.most = self.weight.max(1).astype(np.float64) if n else np.zeros(0)
@@ -167,6 +171,7 @@ def _lookup(index: Index) -> columns.Lookup:
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item of which it holds question and answer."""
+    bounded(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = given.sparkSession.createDataFrame([], FOUND)
     for shard in _shards(benchmark, item_id, item_text):
@@ -186,6 +191,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no item."""
+    bounded(docs.sparkSession)
     for shard in _shards(benchmark, item_id, item_text):
         index = docs.sparkSession.sparkContext.broadcast(Index(shard))
 

@@ -257,6 +257,11 @@ def test_decontamination(spark, docs, hard, none):
     assert got == want and want
     clean = decontaminate.clean(docs, table(spark, D, "benchmark"))
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+    rnd = random.Random(3)
+    long = " ".join(f"w{rnd.randrange(5000)}" for _ in range(400)) + ". " + " ".join(f"v{i}" for i in range(12)) + "."
+    held = [(1, "some words " + long + " and more"), (2, long[:600])]
+    found = decontaminate.find(spark.createDataFrame(held, "doc_id long, text string"), spark.createDataFrame([(7, long)], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
     bench = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e"), (3, "What is it? It is a.")], "item_id long, text string")
     assert decontaminate.find(hard, bench).count() == 0 and decontaminate.clean(hard, bench).count() == hard.count()
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
