@@ -1,18 +1,22 @@
 """Orders and the book: what each message did to its order, and the resting book that remains.
 
-A message's effect on one order depends only on the earlier messages of that order, so histories are
-folded per order reference inside Catalyst (``aggregate`` over a sorted array). Books with replace chains
-or reused references go to ``tapeloom.operators.fold``.
+A message's effect on one order depends only on the earlier messages of that order: messages are dealt and
+sorted by reference, and one pass over each partition in Arrow batches folds them, so a history never has
+to fit into memory. A rejected message changes nothing, which a running sum couldn't say. Books with replace
+chains go to ``tapeloom.operators.runs.book_fold``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ADDS, REDUCES = ("A", "F"), ("E", "C", "X")
-EFFECT = "array<struct<seq:bigint,status:string,remaining:bigint,taken:bigint,add_price:bigint>>"
 
 
 def effects(messages: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
@@ -20,39 +24,33 @@ def effects(messages: DataFrame, lo: int | None = None, hi: int | None = None) -
     add_price. messages(seq, order_ref, locate, side, type, shares, price, ...). Checks, in this order: an add
     needs a reference, a quantity and a price inside [lo, hi); a reduction needs a quantity, a live order and
     no more than what remains."""
-    carried = [c for c in messages.columns if c not in ("order_ref",)]
-    history = messages.groupBy("order_ref").agg(F.sort_array(F.collect_list(F.struct("seq", *[c for c in carried if c != "seq"]))).alias("h"))
-    zero = F.lit(0).cast("long")
-
-    def step(acc: Column, m: Column) -> Column:
-        live = acc["remaining"] > 0
-        add, reduce = m["type"].isin(*ADDS), m["type"].isin(*REDUCES)
-        outside = F.lit(False) if lo is None else ~((m["price"] >= lo) & (m["price"] < hi))
-        status = (
-            F.when(add & (F.col("order_ref") == 0), "zero_ref")
-            .when((add | reduce) & (m["shares"] <= 0), "bad_qty")
-            .when(add & outside, "out_of_band")
-            .when(add & live, "duplicate_ref")
-            .when((reduce | (m["type"] == "D")) & ~live, "unknown_order")
-            .when(reduce & (m["shares"] > acc["remaining"]), "over_execute")
-            .when(add | reduce | (m["type"] == "D"), "ok")
-            .otherwise("none")
-        )
-
-        def after(s: Column) -> Column:
-            done = s == "ok"
-            taken = F.when(done & reduce, m["shares"]).when(done & (m["type"] == "D"), acc["remaining"]).otherwise(zero)
-            remaining = F.when(done & add, m["shares"]).otherwise(acc["remaining"] - taken)
-            price = F.when(done & add, m["price"]).otherwise(acc["add_price"])
-            one = F.struct(m["seq"].alias("seq"), s.alias("status"), remaining.alias("remaining"), taken.alias("taken"), price.alias("add_price"))
-            return F.struct(remaining.alias("remaining"), price.alias("add_price"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        return F.element_at(F.transform(F.array(status), after), 1)
-
-    start = F.struct(zero.alias("remaining"), F.lit(None).cast("long").alias("add_price"), F.expr(f"cast(array() as {EFFECT})").alias("out"))
-    folded = history.select("order_ref", F.arrays_zip("h", F.aggregate("h", start, step)["out"].alias("e")).alias("z"))
-    rows = folded.select("order_ref", F.explode("z").alias("z"))
-    return rows.select("order_ref", "z.h.*", *(F.col(f"z.e.{c}").alias(c) for c in ("status", "remaining", "taken", "add_price")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, left, entry = None, 0, None
+        for batch in batches:
+            out: tuple[list, ...] = [], [], [], []
+            for own, kind, qty, price in zip(*(batch.column(c).to_pylist() for c in ("order_ref", "type", "shares", "price")), strict=True):
+                if own != ref:
+                    ref, left, entry = own, 0, None
+                status, taken, qty = "none", 0, qty or 0
+                if kind in ADDS:
+                    outside = lo is not None and not lo <= price < hi
+                    status = "zero_ref" if ref == 0 else "bad_qty" if qty <= 0 else "out_of_band" if outside else "duplicate_ref" if left else "ok"
+                    if status == "ok":
+                        left, entry = qty, price
+                elif kind in REDUCES:
+                    status = "bad_qty" if qty <= 0 else "unknown_order" if not left else "over_execute" if qty > left else "ok"
+                    taken = qty if status == "ok" else 0
+                elif kind == "D":
+                    status, taken = ("ok", left) if left else ("unknown_order", 0)
+                left -= taken
+                for column, value in zip(out, (status, left, taken, entry), strict=True):
+                    column.append(value)
+            added = [pa.array(column, t) for column, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "status", "remaining", "taken", "add_price"])
+
+    schema = T.StructType([*messages.schema.fields, *T.StructType.fromDDL("status string, remaining long, taken long, add_price long").fields])
+    return messages.repartition("order_ref").sortWithinPartitions("order_ref", "seq").mapInArrow(run, schema)
 
 
 def prints(effect: DataFrame) -> DataFrame:
