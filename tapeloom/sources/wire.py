@@ -30,8 +30,9 @@ FIELDS = {
 }
 
 
-def _wide() -> Column:
-    return F.lit(str(2**63)).cast("decimal(20,0)")
+def _wide(frame: Column, offset: int) -> Column:
+    """An 8-byte number of 2^63 or more: its first bit is set."""
+    return F.substring(frame, offset + 1, 1) >= F.lit(bytearray(b"\x80"))
 
 
 def number(frame: Column, offset: int, size: int) -> Column:
@@ -44,8 +45,8 @@ def text(frame: Column, offset: int, size: int) -> Column:
 
 def _field(frame: Column, offset: int, size: int, kind: str) -> Column:
     if kind == "u":
-        n = number(frame, offset, size)
-        return F.when(n < _wide(), n).cast("long")
+        n = F.conv(F.hex(F.substring(frame, offset + 1, size)), 16, 10).cast("long")
+        return F.when(~_wide(frame, offset), n) if size == 8 else n
     return text(frame, offset, size) if kind == "c" else text(frame, offset, size) == "Y"
 
 
@@ -60,7 +61,7 @@ def decode(frames: DataFrame, types: tuple[str, ...] = tuple(FIELDS), strict: bo
         for name, offset, size, k in FIELDS[t]:
             columns[name] = (columns[name] if name in columns else F).when(kind == t, _field(frame, offset, size, k))
             if size == 8 and k == "u":
-                wide |= (kind == t) & (number(frame, offset, size) >= _wide())
+                wide |= (kind == t) & _wide(frame, offset)
     side = F.decode(F.substring(frame, 20, 1), "ISO-8859-1")
     error = (
         F.when(F.octet_length(frame) < HEADER, "truncated")
@@ -73,7 +74,7 @@ def decode(frames: DataFrame, types: tuple[str, ...] = tuple(FIELDS), strict: bo
         error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("decode: "), error))).otherwise(error)
     ok = error.isNull()
     kept = [c for c in frames.columns if c not in columns and c not in ("locate", "tracking", "ts_ns")]
-    heads = {"locate": number(frame, 1, 2).cast("int"), "tracking": number(frame, 3, 2).cast("int"), "ts_ns": number(frame, 5, 6).cast("long")}
+    heads = {"locate": _field(frame, 1, 2, "u").cast("int"), "tracking": _field(frame, 3, 2, "u").cast("int"), "ts_ns": _field(frame, 5, 6, "u")}
     return frames.select(*kept, *(F.when(ok, c).alias(n) for n, c in (heads | columns).items()), error.alias("decode_error"))
 
 
