@@ -1,11 +1,12 @@
 """Secret scans with corpus-wide ownership frequency, by SQL functions alone.
 
 Every candidate (assignments, access keys, long hex, and mixed tokens that look random) is hashed; hashes
-are counted by distinct owners and distinct repositories. What many owners hold is an example that was
-copied widely, what few hold looks live. Base spans stay as they are; a mixed token becomes a span only
-where its hash is owner-specific.
+are counted by distinct owners and distinct repositories. What many owners or many repositories hold is an
+example that was copied widely, be it by one owner alone; what few hold looks live. Base spans stay as they
+are; a mixed token becomes a span only where its hash is owner-specific.
 
-Defined results: null or empty texts have no spans; a null owner or repository counts as one of its own;
+Defined results: null or empty texts have no spans; a null owner or repository counts as one of its own (all
+null owners are one owner, whose repositories count each); a repository of two owners counts for either;
 repeated rows count once per repository; other columns are not read.
 """
 
@@ -24,8 +25,9 @@ ACCESS, ACCESS_LEAST = r"AKIA[A-Z0-9]++", 20
 HEX, HEX_LEAST = r"[0-9a-f]{24,}+", 24
 MIXED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ASSIGN_LEAST = 6
-#: A mixed token has at least so many distinct characters; a hash of so many owners is an example.
-DISTINCT, WIDE = 10, 3
+#: A mixed token has at least so many distinct characters; a hash of so many owners, or of so many
+#: repositories, is an example.
+DISTINCT, WIDE, WIDE_REPOS = 10, 3, 10
 
 
 def _mixed_ok(s):
@@ -51,7 +53,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     by_repo = each.select("hash", "owner", "repo").distinct()
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     owned = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    wide = F.col("owners") >= WIDE
+    wide = (F.col("owners") >= WIDE) | (F.col("repos") >= WIDE_REPOS)
     told = salted_join(each, owned, "hash", F.col("_row")).filter((F.col("s.kind") != "mixed") | ~wide)
     told = told.select("_row", F.struct("s.start", "s.rank", "s.end", "s.kind", wide.alias("wide")).alias("s"))
     per = told.groupBy("_row").agg(F.sort_array(F.collect_list("s")).alias("all"))

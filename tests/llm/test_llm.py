@@ -188,6 +188,17 @@ def test_ownership_tells_copies_from_live_ones(spark):
     assert all(out[i].spans == [] for i in range(5))
 
 
+def test_many_repositories_of_one_owner_are_copies(spark):
+    copied, live = "Zq9Xw8Ev7Cr6Bt5Ny4Mu3", "Mu3Ny4Bt5Cr6Ev7Xw8Zq9"
+    for owner in ("owner", None):
+        rows = [(i, f"see {copied} here; token=abcdef{i // 9}", owner) for i in range(12)] + [(20 + i % 9, f"my {live}", owner) for i in range(18)]
+        out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert sorted((r.doc_id, [s.kind for s in r.spans], r.n_live, r.n_copied) for r in out) == [(i, ["assign"], 1, 0) for i in range(12)] + [(20 + i // 2, ["mixed"], 1, 0) for i in range(18)]
+        rows = [(i, f"password = hunter22 {copied}", owner) for i in range(10)]
+        out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert [([s.kind for s in r.spans], r.n_live, r.n_copied) for r in out] == [(["assign"], 0, 1)] * 10
+
+
 def test_contexts_discover_identifiers(spark):
     mail = lambda i: f"member: user{i}@mail.com"
     rows = [(i, f"the note and the {mail(i)} was the mail{i}@x.org") for i in range(20)] + [(50, "member: AB-778-21 and the 4417-b5")]
