@@ -5,6 +5,10 @@ left word as a pattern; patterns score by the instances they precede and instanc
 turns over the pattern-instance graph. Patterns that mostly precede identifiers, and precede enough
 different seeds, then mark unseen identifiers (kind "id").
 
+A candidate is a whole run of letters, digits and . _ - in ASCII, of any length, without the . _ - at its end. It
+has six characters at least and a digit anywhere, begins with a letter or digit that no @ or + stands before,
+and overlaps no base entity. Shorter ones (A1234) and those without digits (john_doe) are no candidates.
+
 Defined results: null or empty texts have no spans; repeated rows give repeated results; other columns
 are not read.
 """
@@ -22,7 +26,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-INSTANCE = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._-]{0,30}[0-9])[A-Za-z0-9][A-Za-z0-9._-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@])"
+INSTANCE = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._-]*+[0-9])(?=[A-Za-z0-9][A-Za-z0-9._-]{4,}?[A-Za-z0-9])[A-Za-z0-9]++(?:[._-]++[A-Za-z0-9]++)*+"
 CONTEXT = 48
 TURNS, PATTERN_LEAST, SEEDS_LEAST, INSTANCE_LEAST = 3, 0.5, 5, 0.4
 

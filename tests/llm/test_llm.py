@@ -206,6 +206,17 @@ def test_contexts_discover_identifiers(spark):
     assert [(s.kind, rows[-1][1][s.start : s.end]) for s in out[50].spans] == [("id", "AB-778-21")]
 
 
+def test_identifiers_are_found_whole(spark):
+    """Of any length, the digit anywhere, without the punctuation behind them; shorter ones and words are none."""
+    whole = ["AB-778-21", "x7" * 40, "-".join(["ab12"] * 17), "q" * 45 + "1", "Z9." * 30000 + "Z9", "k" * 70 + "_5-a", "1b" * 31 + "-c", "user123-name@host"]
+    not_any = ["A1234", "john_doe", "q" * 90, "_AB77821", "12.__--"]
+    mail = lambda i: f"member: user{i}@mail.com"
+    rows = [(i, f"the note and the {mail(i)} was the mail{i}@x.org") for i in range(40)] + [(50 + i, f"member: {w}_-, and") for i, w in enumerate(whole + not_any)]
+    out = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    marked = [[(s.kind, rows[40 + i][1][s.start : s.end]) for s in out[50 + i].spans] for i in range(len(whole + not_any))]
+    assert marked == [[("id", w.split("@")[0])] for w in whole] + [[] for _ in not_any]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.c 10.0.0.1 z", "x")], "doc_id long, text string, base string")
     found = pii.scan(df, carry=True)
