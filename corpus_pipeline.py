@@ -19,10 +19,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links reach: that of the smallest id, once. A null id stays."""
-    kept = jaccard.similarity_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.union(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """Keeps one row of each group that links reach: that of the smallest id, and of equal ids one by its text.
+    Groups are of rows, so an id that stands on several texts loses none of them. A row without words links
+    nothing: only rows with its id and its text are its copies. A null id is kept where its group has no other."""
+    rows = cut(docs.withColumn("_kept", F.monotonically_increasing_id()))  # the row numbers hold from here on
+    classes = jaccard.similarity_classes(rows, "_kept").withColumnRenamed("doc_id", "_kept")
+    each = classes.join(rows.select("_kept", "doc_id", F.xxhash64("text").alias("hash")), "_kept")
+    alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [F.when(~alone, F.col("component_id")).alias("comp"), F.when(alone, F.col("doc_id")).alias("id"), F.when(alone, F.col("hash")).alias("same")]
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "hash", "_kept")).alias("first")
+    kept = each.groupBy(*group).agg(first).select("first._kept")
+    return rows.join(kept, "_kept", "left_semi").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -416,6 +416,19 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_near_duplicates_keep_rows(spark):
+    """An id on two texts loses none of them; copies of a null id are one; rows without words are copies by id and text."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(40)) for p in "abcd")
+    rows = [(1, a), (1, b), (2, a + " z"), (0, b), (None, c), (None, c), (None, d), (5, d), (6, ""), (6, ""), (7, ""), (8, None), (None, " "), (9, a[: len(a) // 2])]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), D)
+    want = [(1, a), (0, b), (None, c), (5, d), (6, ""), (7, ""), (8, None), (None, " "), (9, a[: len(a) // 2])]
+    assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    unique = [(3, a), (3, b), (3, c), (3, c)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(unique, "doc_id long, text string"), D)
+    assert sorted(map(tuple, got.collect())) == unique[:3]
+
+
 def test_queries_have_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
