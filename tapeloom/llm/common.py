@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 2_000
+#: A key is hot that holds more than this share of a partition's fair part of the rows (1 / HOT_SHARE), and HOT_LEAST rows.
+HOT_SHARE, HOT_LEAST = 4, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder, but only if
+    driver and executors are one process: elsewhere each executor would write to its own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found or _own_dir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_dir()
 
 
 @functools.lru_cache(maxsize=1)
@@ -87,9 +95,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: Column, salts: int = 16, how: str = "left") -> DataFrame:
-    """Join where one key may hold a third of ``left``: its rows are spread over ``salts`` partitions
-    and ``right``, unique by ``key``, is repeated as often."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: Column, how: str = "left") -> DataFrame:
+    """Join where one key may hold a third of ``left``; ``right`` is unique by ``key``. A key with more than a
+    share of 1 in HOT_SHARE x partitions of the rows is hot: its rows are spread over as many salts as it has such
+    shares, and only its row of ``right`` is repeated as often. There are fewer hot keys than HOT_SHARE x
+    partitions at any size of the data, so their table is broadcast."""
+    most = HOT_SHARE * shuffle_partitions(left.sparkSession)
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = left.agg(F.count("*").alias("_all"))
+    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * most > F.col("_all") + HOT_LEAST * most)
+    hot = hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_n") * most / F.col("_all")).cast("int").alias("_salts"))
+    a = left.join(F.broadcast(hot), left[key].eqNullSafe(F.col("_hot")), "left")
+    a = a.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_salts")).cast("int"), F.lit(0))).drop("_hot", "_salts")
+    b = right.join(F.broadcast(hot), right[key] == F.col("_hot"), "left")
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_hot", "_salts")
     return a.join(b, [key, "_salt"], how).drop("_salt")
