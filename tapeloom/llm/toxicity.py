@@ -3,11 +3,15 @@
 The lexicon is learned from labelled rows: words and beginnings of words that toxic texts hold far more
 often. Features are densities of lexicon hits by strength, the nearest second-person word, capitals,
 punctuation, and obfuscation (letters written as digits or signs, letters repeated or held apart). The
-trees are fitted on one part of a bounded sample of labelled rows, the calibration on the other.
+trees are fitted on one part of a bounded sample of labelled rows (``rows`` and bytes at most, see
+``ordinal.sample``), the calibration on the other. Two parameters of the model bound the lexicon: ``entries``,
+those with the largest odds, and the beginnings of words that it looks at (4 to 14 bytes, and whole words).
 
 Defined results: null or empty texts have features of zero and the score that those get; repeated rows
-give repeated results; without labelled rows of both classes the fit raises ValueError; other columns
-are not read.
+give repeated results; in the fit an id that stands on several rows counts once, with its smallest text, null
+labels and ids are no labels, and ids with conflicting labels are left out. Without labelled rows of both
+classes every score is the smoothed share of toxic rows, (toxic + 1/2) / (rows + 1). Empty tables give empty
+results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,7 +75,7 @@ class _Words:
 
 
 class Lexicon:
-    def __init__(self, texts: pa.Array, toxic: np.ndarray):
+    def __init__(self, texts: pa.Array, toxic: np.ndarray, entries: int = ENTRIES):
         n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
         # entries come from toxic texts alone; of the others only how many hold those is counted
         own = self._distinct(texts.filter(pa.array(toxic == 1)))
@@ -82,7 +86,7 @@ class Lexicon:
             at = lookup.find(some)
             held[at[at >= 0]] += 1
         odds = dict(zip(h.tolist(), (np.log((c + 0.5) / (n1 + 1)) - np.log((held + 0.5) / (n0 + 1))).tolist(), strict=True))
-        best = sorted(((o, h) for h, o in odds.items() if o >= STRENGTHS[0]), reverse=True)[:ENTRIES]
+        best = sorted(((o, h) for h, o in odds.items() if o >= STRENGTHS[0]), reverse=True)[:entries]
         best.sort(key=lambda x: x[1])
         self.hashes = np.array([h for _, h in best], np.uint64)
         self.odds = np.array([o for o, _ in best] + [0.0])
@@ -199,8 +203,11 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     def __init__(self, texts: pa.Array, labels: np.ndarray):
         y = (labels > 0).astype(np.int64)
+        self.prior = (float(y.sum()) + 0.5) / (len(y) + 1)
+        self.trees = self.curve = None
+        self.lexicon = Lexicon(texts.slice(0, 0), y[:0])
         if not 0 < y.sum() < len(y):
-            raise ValueError("the labelled rows are of one class")
+            return
         part = np.arange(len(y)) % CALIBRATE == 0
         half = (np.arange(len(y)) // CALIBRATE) % 2 == 0
         pick = lambda rows: texts.filter(pa.array(rows))
@@ -210,6 +217,8 @@ class Model:
             other = ~part & ~own
             if other.any() and 0 < y[other].sum() < other.sum():
                 x[own] = self._all(Lexicon(pick(other), y[other]), pick(own))
+        if not (~part).any() or not 0 < y[~part].sum() < (~part).sum():
+            return
         self.trees = Trees(x[~part], y[~part])
         self.lexicon = Lexicon(pick(~part), y[~part])
         self.curve = isotonic(self.trees.raw(self._all(self.lexicon, pick(part))), y[part])
@@ -220,7 +229,7 @@ class Model:
         return np.concatenate([np.zeros((0, len(NAMES))), *(features(lexicon, lookup, data, offs) for _, _, data, offs in columns.steps(texts))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(self.trees.raw(x), *self.curve)
+        return np.interp(self.trees.raw(x), *self.curve) if self.trees else np.full(len(x), self.prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, where=None) -> Model:

@@ -253,8 +253,8 @@ def test_ordinal_thresholds_are_ordered():
     assert (np.diff(tails, axis=1) <= 0).all()
     means = [tails.sum(1)[y == g].mean() for g in range(4)]
     assert means == sorted(means)
-    with pytest.raises(ValueError):
-        ordinal.fit(*texts_of(rows[:5]))
+    one = ordinal.fit(*texts_of([(t, 2) for t, _ in rows[:5]]))
+    assert list(one.grades) == [2] and not len(one.thresholds)
 
 
 def test_toxicity_held_out(spark, hard, none):
