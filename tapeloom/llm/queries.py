@@ -22,13 +22,13 @@ def _counts(kinds: tuple[str, ...]) -> list:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *_counts(secrets.KINDS[:3]), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
+    return out.select("doc_id", *_counts(secrets.KINDS[:3]), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied", "owners", "repos")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ordinal.train(docs, table(spark, sf_dir, "labels"))
-    return ordinal.rate(docs, model).select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail", 6).alias("tail"), (F.col("tail") >= 0.5).alias("kept"))
+    return ordinal.rate(docs, model).select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail", 6).alias("tail"), F.coalesce(F.col("tail") >= 0.5, F.lit(True)).alias("kept"))
 
 
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

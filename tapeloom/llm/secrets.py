@@ -37,7 +37,8 @@ def _mixed_ok(s):
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, base (spans by start, then kind), spans (base and added ones), and of how
-    many spans the value is owner-specific (n_live) or widely copied (n_copied)."""
+    many spans the value is owner-specific (n_live) or widely copied (n_copied); owners and repos are those of the
+    most widely held value among its spans (0 without spans)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digit = text.rlike("[0-9]")
     parts = [
@@ -55,15 +56,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     owned = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     wide = (F.col("owners") >= WIDE) | (F.col("repos") >= WIDE_REPOS)
     told = salted_join(each, owned, "hash", F.col("_row")).filter((F.col("s.kind") != "mixed") | ~wide)
-    told = told.select("_row", F.struct("s.start", "s.rank", "s.end", "s.kind", wide.alias("wide")).alias("s"))
-    per = told.groupBy("_row").agg(F.sort_array(F.collect_list("s")).alias("all"))
+    told = told.select("_row", "owners", "repos", F.struct("s.start", "s.rank", "s.end", "s.kind", wide.alias("wide")).alias("s"))
+    per = told.groupBy("_row").agg(F.sort_array(F.collect_list("s")).alias("all"), F.max("owners").alias("owners"), F.max("repos").alias("repos"))
     shape = "array<struct<start:bigint,rank:int,end:bigint,kind:string,wide:boolean>>"
-    out = rows.filter(F.size("spans") > 0).select("_row", "doc_id").join(per, "_row", "left").select("doc_id", F.coalesce("all", F.expr(f"cast(array() as {shape})")).alias("all"))
-    out = out.union(rows.filter(F.size("spans") == 0).select("doc_id", F.expr(f"cast(array() as {shape})")))
+    out = rows.filter(F.size("spans") > 0).select("_row", "doc_id").join(per, "_row", "left").select("doc_id", F.coalesce("all", F.expr(f"cast(array() as {shape})")).alias("all"), "owners", "repos")
+    out = out.union(rows.filter(F.size("spans") == 0).select("doc_id", F.expr(f"cast(array() as {shape})"), F.lit(None).cast("long"), F.lit(None).cast("long")))
     return out.select(
         "doc_id",
         F.filter("all", lambda s: s["kind"] != "mixed").alias("base"),
         F.col("all").alias("spans"),
         F.size(F.filter("all", lambda s: ~s["wide"])).cast("long").alias("n_live"),
         F.size(F.filter("all", lambda s: s["wide"])).cast("long").alias("n_copied"),
+        F.coalesce("owners", F.lit(0)).alias("owners"),
+        F.coalesce("repos", F.lit(0)).alias("repos"),
     )
