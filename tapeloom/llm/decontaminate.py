@@ -1,21 +1,27 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, with block-max bounds.
-
-The items are the index, every passage of every training document is a query. A passage's bound is the sum
-of its terms' largest weights over all items, then over each block of items; only where a block's bound
-reaches the threshold are its items scored. What is retrieved is verified by the n-grams of the item's
-question and answer (its last sentence) that the document holds.
-
-The index is broadcast in shards of at most SHARD_BYTES of items; more items mean more shards, each asked
-by all documents.
-
-Defined results: null or empty texts and items match nothing; repeated rows give repeated results; a
-document that holds an item twice gives one row; other columns are carried by ``clean`` as they are.
+"""Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
+
+The items are the index, every passage of every training document is a query. A term's postings are its items
+in order with their weights, in blocks that know their largest weight. All items that reach the threshold are
+retrieved: the terms are put in order of their next items, the pivot is where the sum of their largest weights
+reaches the threshold, and a pivot is only scored where the sum of its blocks' largest weights does, too. Most
+passages are told without a search, many at once: the largest weights of their terms, over all items and then
+over each of RANGES ranges of items, don't reach the threshold. What is retrieved is verified by the n-grams of
+the item's question and of its answer (its last sentence) that the document holds.
+
+Number, mean length and document frequencies are counted over all items, so weights, scores and results don't
+depend on how the index is cut: it is built, broadcast and searched in shards of about SHARD_BYTES of items, and a
+shard's postings are no more than its words, its table of ranges has RANGES numbers a distinct word. More items mean more shards, each asked by all documents.
+
+Defined results: null or empty texts and items match nothing; an item with a null id is no item; repeated
+items give a row each, repeated documents repeated results; a document that holds an item twice gives one row;
+ties all count; empty tables give empty results; other columns are carried by ``clean`` as they are.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import columns, hashing
-from tapeloom.llm.common import bounded
+from tapeloom.llm.common import bounded, cut, drop
 from tapeloom.llm.hashing import gather
 
 K1, B_LENGTH = 1.2, 0.75
-WINDOW, STRIDE, BLOCKS = 32, 16, 16
-#: A passage must hold so much of the BM25 mass of the item's best passage; a document so much of its n-grams.
-RETRIEVE, OVERLAP, NGRAM = 0.3, 0.6, 4
-SHARD_BYTES = 8 << 20
+WINDOW, STRIDE = 32, 16
+#: A passage must hold so much of the BM25 mass of the item's best passage; a document so much of its n-grams, and of
+#: those of question and answer each.
+RETRIEVE, OVERLAP, PART, NGRAM = 0.3, 0.6, 0.5, 4
+#: Postings of a block; ranges of items; bytes of items in a shard, about; passages that are looked at together.
+BLOCK, RANGES, SHARD_BYTES, TOGETHER = 32, 64, 4 << 20, 5_000
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -73,33 +81,108 @@ def split_answer(text: str) -> tuple[str, str]:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
-        items = [(i, t) for i, t in items if len(_of(t or ""))]
+    """The inverted index of a shard. df(terms) are the document frequencies of sorted distinct terms over all items;
+    ``n`` and ``mean`` are the number and the mean number of words of all items."""
+
+    def __init__(self, items: list[tuple[int, str]], df: Callable[[np.ndarray], np.ndarray], n: int, mean: float):
+        words = [_of(t or "") for _, t in items]
+        items, words = [x for x, w in zip(items, words, strict=True) if len(w)], [w for w in words if len(w)]
         self.ids = np.array([i for i, _ in items], np.int64)
-        bags = [Counter(_of(t).tolist()) for _, t in items]
-        df = Counter(t for b in bags for t in b)
-        self.terms = np.array(sorted(df), np.uint64)
-        place = {t: k for k, t in enumerate(self.terms.tolist())}
-        n, mean = len(items), sum(map(len, bags)) / max(1, len(bags))
-        self.weight = np.zeros((len(self.terms), max(1, n)), np.float32)
-        for d, bag in enumerate(bags):
-            for t, tf in bag.items():
-                idf = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-                self.weight[place[t], d] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B_LENGTH + B_LENGTH * len(bag) / mean))
-        for d, (_, t) in enumerate(items):
-            own = np.searchsorted(self.terms, _of(t))
-            most = max(float(self.weight[np.unique(own[a : a + WINDOW]), d].sum()) for a in range(max(1, len(own) - WINDOW + 1)))
-            self.weight[:, d] /= max(most, 1e-9)  # a passage can't hold more of a long item than the item's best passage
-        self.cuts = np.unique(np.linspace(0, n, BLOCKS + 1).astype(int))
-        self.block_max = np.stack([self.weight[:, a:b].max(1) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)], 1).astype(np.float64) if n else np.zeros((0, 1))
-        self.most = self.weight.max(1).astype(np.float64) if n else np.zeros(0)
+        self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
+        held = df(self.terms).astype(np.float64)
+        idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
+        term, item, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for d, own in enumerate(words):
+            place = np.searchsorted(self.terms, own)
+            t, tf = np.unique(place, return_counts=True)
+            size = len(own)
+            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B_LENGTH + B_LENGTH * size / mean))
+            most = max(float(w[np.searchsorted(t, np.unique(place[a : a + WINDOW]))].sum()) for a in range(max(1, size - WINDOW + 1)))
+            term.append(t)
+            item.append(np.full(len(t), d))
+            weight.append(w / max(most, 1e-9))  # a passage can't hold more of a long item than the item's best passage
+        term, item, weight = (np.concatenate(x) for x in (term, item, weight))
+        order = np.lexsort((item, term))
+        term, self.item, self.weight = term[order], item[order], weight[order]
+        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        size = np.diff(self.first)
+        blocks = -(-size // BLOCK)
+        self.first_block = np.concatenate([[0], np.cumsum(blocks)])
+        start = np.repeat(self.first[:-1] - BLOCK * self.first_block[:-1], blocks) + BLOCK * np.arange(self.first_block[-1])
+        end = np.minimum(start + BLOCK, np.repeat(self.first[1:], blocks))
+        self.block_max = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.block_last = self.item[end - 1] if len(start) else np.zeros(0, np.int64)
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(self.terms) else np.zeros(0)
+        at = self.item * RANGES // max(1, len(items))
+        self.range_max = np.zeros((len(self.terms), RANGES), np.float32)
+        np.maximum.at(self.range_max, (np.repeat(np.arange(len(self.terms)), size), at), self.weight.astype(np.float32))
         halves = [split_answer(t) for _, t in items]
-        self.question, self.answer, self.grams = [_grams(_of(q)) for q, _ in halves], [_grams(_of(a)) for _, a in halves], [_grams(_of(t)) for _, t in items]
-
-    def search(self, lookup: columns.Lookup, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
+        self.question, self.answer, self.grams = [_grams(_of(q)) for q, _ in halves], [_grams(_of(a)) for _, a in halves], [_grams(w) for w in words]
+
+    @functools.cached_property
+    def lookup(self) -> columns.Lookup:
+        return columns.Lookup(self.terms)
+
+    def wand(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """(item, score) of all items that distinct ``terms`` give the threshold, in order of items."""
+        out, least = [], RETRIEVE - 1e-9
+        # of each term: items, weights, largest weight, place in the list, item there; blocks' ends and largest weights, place
+        cursors = []
+        for t in terms.tolist():
+            a, b, c, d = self.first[t], self.first[t + 1], self.first_block[t], self.first_block[t + 1]
+            items = self.item[a:b]
+            cursors.append([int(items[0]), float(self.most[t]), 0, items, self.weight[a:b], self.block_last[c:d], self.block_max[c:d]])
+
+        def advance(c: list, to: int) -> None:
+            """Moves a list on to its first item at or past ``to``."""
+            block = int(np.searchsorted(c[5], to))
+            if block == len(c[5]):
+                c[0] = _END
+                return
+            a = max(c[2], block * BLOCK)
+            c[2] = a + int(np.searchsorted(c[3][a : (block + 1) * BLOCK], to))
+            c[0] = int(c[3][c[2]])
+
+        while True:
+            cursors = [c for c in cursors if c[0] < _END]
+            cursors.sort(key=_next_item)
+            total, pivot = 0.0, None
+            for k, c in enumerate(cursors):
+                total += c[1]
+                if total >= least:
+                    pivot = k
+                    break
+            if pivot is None:
+                return out
+            at = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+                pivot += 1
+            bound, end = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else _END
+            for c in cursors[: pivot + 1]:
+                block = int(np.searchsorted(c[5], at))
+                if block < len(c[5]):
+                    bound += c[6][block]
+                    end = min(end, int(c[5][block]) + 1)
+            if bound < least:  # no item before the first of these blocks ends can reach it
+                for c in cursors[: pivot + 1]:
+                    if c[0] < end:
+                        advance(c, end)
+            elif cursors[0][0] == at:
+                score = 0.0
+                for c in cursors[: pivot + 1]:
+                    score += float(c[4][c[2]])
+                    advance(c, at + 1)
+                if score >= least:
+                    out.append((at, score))
+            else:
+                for c in cursors[:pivot]:
+                    if c[0] < at:
+                        advance(c, at)
+
+    def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
         """(text, item, score, overlaps of question, answer, all) of the verified pairs."""
         words, first = _terms(data, offs)
-        term = lookup.find(words)
+        term = self.lookup.find(words)
         at = np.flatnonzero(term >= 0)
         term = term[at]
         size = np.diff(first)
@@ -111,62 +194,84 @@ class Index:
         total = np.concatenate([[0.0], np.cumsum(self.most[term])])
         live = np.flatnonzero(total[hi] - total[lo] >= RETRIEVE - 1e-6)
         best: dict[tuple[int, int], float] = {}
-        for live in np.array_split(live, -(-len(live) // 20_000)) if len(live) else []:
+        for live in np.array_split(live, -(-len(live) // TOGETHER)) if len(live) else []:
+            # distinct terms of each passage
             pairs = np.sort(np.repeat(np.arange(len(live)), hi[live] - lo[live]) * len(self.terms) + gather(term, lo[live], hi[live] - lo[live]))
             pairs = pairs[np.diff(pairs, prepend=-1) > 0]
             win, own = np.divmod(pairs, len(self.terms))
-            bound = np.bincount(win, self.most[own], len(live))
-            keep = bound[win] >= RETRIEVE - 1e-6
+            keep = np.bincount(win, self.most[own], len(live))[win] >= RETRIEVE - 1e-6
             win, own = win[keep], own[keep]
             if not len(win):
                 continue
             starts = np.flatnonzero(np.diff(win, prepend=-1))
-            at_win = win[starts]
-            bounds = np.add.reduceat(self.block_max[own], starts, 0) >= RETRIEVE - 1e-6
-            counts = np.diff(np.append(starts, len(win)))
-            for b in np.flatnonzero(bounds.any(0)).tolist():
-                rows = np.flatnonzero(bounds[:, b])
-                some = gather(own, starts[rows], counts[rows])
-                firsts = np.cumsum(counts[rows]) - counts[rows]
-                score = np.add.reduceat(self.weight[some, self.cuts[b] : self.cuts[b + 1]], firsts, 0)
-                for r, d in zip(*(x.tolist() for x in np.nonzero(score >= RETRIEVE)), strict=True):
-                    key = int(text[live[at_win[rows[r]]]]), int(self.cuts[b] + d)
-                    best[key] = max(best.get(key, 0.0), float(score[r, d]))
+            ends = np.append(starts[1:], len(win))
+            reach = (np.add.reduceat(self.range_max[own], starts, 0) >= RETRIEVE - 1e-4).any(1)
+            for w in np.flatnonzero(reach).tolist():
+                for d, score in self.wand(own[starts[w] : ends[w]]):
+                    key = int(text[live[win[starts[w]]]]), d
+                    best[key] = max(best.get(key, 0.0), score)
         out, held = [], (-1, None)
         for (t, d), score in sorted(best.items()):
             if held[0] != t:
                 own = words[first[t] : first[t + 1]]
                 held = t, {n: np.sort(hashing.slices(hashing.mix(own), i := np.arange(max(0, len(own) - n + 1)), i + n)) for n in range(1, NGRAM + 1)}
-            share = [self._share(g, held[1], whole) for g, whole in ((self.question[d], False), (self.answer[d], False), (self.grams[d], True))]
-            if share[2] >= OVERLAP and share[0] > 0 and share[1] > 0:
+            share = [self._share(g, held[1]) for g in (self.question[d], self.answer[d], self.grams[d])]
+            if share[2] >= OVERLAP and min(share[:2]) >= PART:
                 out.append((t, d, score, *share))
         return out
 
     @staticmethod
-    def _share(grams: np.ndarray, held: dict[int, np.ndarray], whole: bool) -> float:
+    def _share(grams: np.ndarray, held: dict[int, np.ndarray]) -> float:
         """Of an item's n-grams (shorter ones if it is shorter), the share that the text holds."""
         if not len(grams):
             return 1.0
         return float(max((h[np.minimum(np.searchsorted(h, grams), len(h) - 1)] == grams).mean() if len(h) else 0.0 for h in held.values()))
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str):
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // SHARD_BYTES)
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield sorted((r.i, r.t) for r in part.collect() if r.i is not None)
+_END = 1 << 62
 
 
-_LOOKUPS: dict[int, columns.Lookup] = {}
+def _next_item(cursor: list) -> int:
+    return cursor[0]
 
 
-def _lookup(index: Index) -> columns.Lookup:
-    if id(index) not in _LOOKUPS:
-        _LOOKUPS.clear()
-        _LOOKUPS[id(index)] = columns.Lookup(index.terms)
-    return _LOOKUPS[id(index)]
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, 1) of each item's distinct words; and of every item a row without a term, with its number of words."""
+    for batch in batches:
+        for _, _, data, offs in columns.steps(batch.column("t")):
+            words, first = _terms(data, offs)
+            own = [np.unique(words[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            terms = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            sizes = [n for n in np.diff(first).tolist() if n]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(terms), pa.nulls(len(sizes), pa.int64())]), pa.array([1] * len(terms) + sizes, pa.int64())], ["term", "n"])
+
+
+def indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
+    """The shards of the index, one at a time. At the driver is one shard's texts and postings, and the frequencies of its terms."""
+    spark = benchmark.sparkSession
+    items = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if not size:
+        return
+    counted = cut(items.select("t").mapInArrow(_words_of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("rows")))
+    whole = counted.filter("term IS NULL").first()
+    table = counted.filter("term IS NOT NULL").select("term", "n")
+
+    def frequencies(terms: np.ndarray) -> np.ndarray:
+        own = spark.createDataFrame(pa.table({"term": pa.array(terms.view(np.int64))}))
+        got = table.join(F.broadcast(own), "term", "left_semi").toArrow()
+        place = np.searchsorted(terms, got.column("term").to_numpy().view(np.uint64))
+        out = np.zeros(len(terms), np.int64)
+        out[place] = got.column("n").to_numpy()
+        return out
+
+    n = -(-size // SHARD_BYTES)
+    for k in range(n if whole else 0):
+        shard = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toArrow()
+        rows = sorted(zip(shard.column("i").to_pylist(), shard.column("t").to_pylist(), strict=True))
+        if rows:
+            yield Index(rows, frequencies, whole.rows, whole.n / whole.rows)
+    drop(counted)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -174,13 +279,13 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     bounded(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = given.sparkSession.createDataFrame([], FOUND)
-    for shard in _shards(benchmark, item_id, item_text):
-        index = given.sparkSession.sparkContext.broadcast(Index(shard))
+    for shard in indexes(benchmark, item_id, item_text):
+        index = given.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches, index=index):
             ix = index.value
             for batch in batches:
-                rows = [(batch.column("doc_id")[a + t].as_py(), int(ix.ids[d]), *rest) for a, _, data, offs in columns.steps(batch.column("text")) for t, d, *rest in ix.search(_lookup(ix), data, offs)]
+                rows = [(batch.column("doc_id")[a + t].as_py(), int(ix.ids[d]), *rest) for a, _, data, offs in columns.steps(batch.column("text")) for t, d, *rest in ix.search(data, offs)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64()] + [pa.float64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
@@ -192,15 +297,15 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no item."""
     bounded(docs.sparkSession)
-    for shard in _shards(benchmark, item_id, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(Index(shard))
+    for shard in indexes(benchmark, item_id, item_text):
+        index = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches, index=index):
             ix = index.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for a, _, data, offs in columns.steps(batch.column(text_col)):
-                    keep[[a + t for t, *_ in ix.search(_lookup(ix), data, offs)]] = False
+                    keep[[a + t for t, *_ in ix.search(data, offs)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
