@@ -1,9 +1,10 @@
 """GIF as a column: bytes stored as timed frames, and GIF streams decoded with LZW, palettes, interlacing,
 disposal and transparency, with colour histograms.
 
-``store`` writes each text's bytes as 24 x 24 frames of 8-bit samples under a grey palette; ``decode`` reads
-any GIF87a or GIF89a stream. LZW streams are decoded many frames at a time: a table entry is a slice of what
-its frame has put out before, so a step of all frames is a few array operations.
+``store`` writes each text's bytes as 24 x 24 frames of 8-bit samples under a grey palette, compressed by LZW with
+a table that grows over a frame; ``decode`` reads any GIF87a or GIF89a stream. LZW streams are encoded and
+decoded many frames at a time: a step of all frames is a few array operations, and for the decoder a table entry is
+a slice of what its frame has put out before.
 
 Defined results: null or empty texts are one frame of padding; equal texts give equal files; a stream that
 isn't a GIF, or a null one, has no frames and null columns; a stream that ends early keeps its whole frames,
@@ -29,50 +30,66 @@ FRAME = SIDE * SIDE
 PAD = 255
 DELAY = 4  # hundredths of a second
 BINS = 8
-#: Codes between two clears: with fewer than 255 the codes keep nine bits.
-RUN = 250
 #: Frames, and pixels of them, that are decoded in step.
 TOGETHER, PIXELS = 4096, 4 << 20
+#: Frames that are encoded in step.
+ENCODED = 512
 STORED = "doc_id long, n_bytes long, gif binary"
 DECODED = "width int, height int, n_frames int, duration_ms long, histogram array<long>, samples binary"
 
 
-def _template() -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Head of a file; a frame's bytes without its codes; where the codes' bytes go; the places of samples among codes."""
-    head = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + bytes(v for v in range(256) for _ in range(3))
-    plan: list[int] = []
-    for i in range(FRAME):
-        if i % RUN == 0:
-            plan.append(256)
-        plan.append(-1)
-    plan.append(257)
-    codes = np.array(plan)
-    size = -(-len(codes) * 9 // 8)
-    start = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\x00" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    body, places = bytearray(start), []
-    for a in range(0, size, 255):
-        n = min(255, size - a)
-        body.append(n)
-        places += range(len(body), len(body) + n)
-        body += bytes(n)
-    body.append(0)
-    return head, np.frombuffer(bytes(body), np.uint8), np.array(places), codes
-
-
-HEAD, BODY, PLACES, CODES = _template()
-
-
-def encode_frames(samples: np.ndarray) -> np.ndarray:
-    """Frames of samples (n x FRAME) as the bytes of GIF frames (n x len(BODY))."""
-    n = len(samples)
-    codes = np.broadcast_to(CODES, (n, len(CODES))).astype(np.uint16)
-    codes[:, CODES < 0] = samples
-    bits = np.empty((n, len(CODES), 9), np.uint8)
-    for k in range(9):
-        bits[:, :, k] = codes >> k & 1
-    out = np.broadcast_to(BODY, (n, len(BODY))).copy()
-    out[:, PLACES] = np.packbits(bits.reshape(n, -1), axis=1, bitorder="little")
-    return out
+HEAD = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + bytes(v for v in range(256) for _ in range(3))
+#: A frame's control block, its box and the bits of a sample.
+FRAME_HEAD = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY, 0) + b"\x00" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+CLEAR, STOP, FREE = 256, 257, 258
+#: Codes of nine bits behind the clear: the table has 512 entries when the decoder reads the next one.
+NINE = 512 - STOP
+
+
+def lzw_codes(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LZW codes of frames of 8-bit samples (n x size, at most 600 each) behind a clear, and how many each has. The
+    tables of all frames are one array over (frame, code, next sample), with samples numbered among those in use."""
+    n, size = samples.shape
+    used = np.zeros(256, bool)
+    used[samples.reshape(-1)] = True
+    symbol = np.cumsum(used)[samples] - 1
+    wide, many = int(used.sum()), FREE + size
+    table = np.zeros(n * many * wide, np.int16)
+    base = np.arange(n) * many
+    out = np.zeros((n, size + 1), np.uint16)
+    count, code = np.zeros(n, np.int64), samples[:, 0].astype(np.int64)
+    for p in range(1, size):
+        at = (base + code) * wide + symbol[:, p]
+        child = table[at]
+        new = np.flatnonzero(child == 0)
+        out[new, count[new]] = code[new]
+        table[at[new]] = FREE + count[new]
+        count[new] += 1
+        code = np.where(child > 0, child, samples[:, p])
+    out[np.arange(n), count] = code
+    return out, count + 1
+
+
+def encode_frames(samples: np.ndarray) -> list[bytes]:
+    """Frames of samples (n x FRAME) as GIF frames."""
+    done = []
+    for a in range(0, len(samples), ENCODED):
+        codes, count = lzw_codes(samples[a : a + ENCODED])
+        n = len(codes)
+        codes = np.concatenate([np.full((n, 1), CLEAR, np.uint16), codes, np.zeros((n, 1), np.uint16)], 1)
+        codes[np.arange(n), count + 1] = STOP
+        nine, ten = codes[:, : NINE + 1], codes[:, NINE + 1 :]
+        bits = [(part[:, :, None] >> np.arange(w, dtype=np.uint16) & 1).astype(np.uint8).reshape(n, -1) for part, w in ((nine, 9), (ten, 10))]
+        raw = np.packbits(np.concatenate(bits, 1), axis=1, bitorder="little")
+        total = count + 2
+        size = (9 * np.minimum(total, NINE + 1) + 10 * np.maximum(total - NINE - 1, 0) + 7) // 8
+        flat, width = raw.tobytes(), raw.shape[1]
+        for k, length in enumerate(size.tolist()):
+            own, parts = flat[k * width : k * width + length], [FRAME_HEAD]
+            for b in range(0, length, 255):
+                parts += (bytes((min(255, length - b),)), own[b : b + 255])
+            done.append(b"".join(parts) + b"\0")
+    return done
 
 
 def payload_frames(offs: np.ndarray) -> np.ndarray:
@@ -89,9 +106,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             padded = np.full(int(ends[-1]) * FRAME, PAD, np.uint8)
             size = np.diff(offs)
             padded[np.arange(len(data)) + np.repeat((ends - count) * FRAME - offs[:-1], size)] = data
-            raw = encode_frames(padded.reshape(-1, FRAME)).tobytes()
-            k = len(BODY)
-            gifs = [HEAD + raw[(e - c) * k : e * k] + b"\x3b" for e, c in zip(ends.tolist(), count.tolist(), strict=True)]
+            frames = encode_frames(padded.reshape(-1, FRAME))
+            gifs = [HEAD + b"".join(frames[e - c : e]) + b"\x3b" for e, c in zip(ends.tolist(), count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size, pa.int64()), pa.array(gifs, pa.binary())], ["doc_id", "n_bytes", "gif"])
 
 
