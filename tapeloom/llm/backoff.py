@@ -5,6 +5,9 @@ them and summed per document. The score of a word is c(u v w) / c(u v) where the
 ``least`` times in the corpus, else ``discount`` times the same for the pair (v w), else
 ``discount`` squared times c(w) / N. A text's first words have shorter contexts and no discount for that.
 
+An n-gram is known by 64 bits of a hash, at every size of the corpus. Two n-grams that share them share a count:
+of n different ones about n^2 / 2^65 pairs do, that is 1 pair at 6 x 10^9 n-grams.
+
 Defined results: null or empty texts, and texts without words, have n_words 0 and score 0; repeated rows
 count as often as they stand there; other columns are not read.
 """
@@ -18,19 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tapeloom.llm import blocks as B
-from tapeloom.llm import common, counts, hashing
+from tapeloom.llm import counts, hashing
 
-ORDER = 3
+ORDER, BITS = 3, 64
 SCHEMA = "doc_id long, n_words long, score double"
 #: Stands for all words: its total is N.
 ALL = np.uint64(0)
 
 
-def _bits(size: int) -> int:
-    """Bits of a hash that requests carry: 24 more than the input's size has, so that at any size fewer than one n-gram in 2^24 shares its count."""
-    return min(64, max(48, 24 + size.bit_length()))
-
-
 class _Step:
     """Hashes of the n-grams that end at each word (0: the text is too short before it)."""
 
@@ -52,9 +50,9 @@ def _distinct(steps: list[_Step]) -> tuple[np.ndarray, np.ndarray]:
     return np.append(ALL, h), np.append(sum(len(s.grams[0]) for s in steps), n)
 
 
-def _ask(buckets: int, bits: int):
+def _ask(buckets: int):
     def f(block: pa.Table):
-        yield from counts.requests(*_distinct([_Step(t) for t in B.texts(block)]), buckets, bits)
+        yield from counts.requests(*_distinct([_Step(t) for t in B.texts(block)]), buckets, BITS)
 
     return f
 
@@ -84,9 +82,8 @@ def _answer(buckets: int, least: int, discount: float):
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, discount: float = 0.4) -> DataFrame:
     """One row per document: the number of words and the sum of the natural logarithms of their scores."""
-    size = common.input_bytes(docs.select(text_col), text_col)
     blocks = B.n_blocks(docs, text_col)
     buckets = B.n_buckets(blocks)
     packed = B.pack(docs, id_col, text_col, blocks)
-    served = B.serve(B.ask(packed, _ask(buckets, _bits(size))), counts.serve)
+    served = B.serve(B.ask(packed, _ask(buckets)), counts.serve)
     return B.answer(packed, served, _answer(buckets, least, discount), SCHEMA)
