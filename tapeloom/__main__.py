@@ -18,44 +18,43 @@ def _spark():
     return spark
 
 
-def _messages(spark, args):
-    from tapeloom.sources import capture, wire
-
-    frames = capture.read_frames(spark, args.capture, args.framing)
-    return wire.decode(frames, ("A", "F", "E", "C", "X", "D", "S", "H", "I", "Y"))
+TYPES = ("A", "F", "E", "C", "X", "D", "U", "S", "H", "I", "Y")
 
 
-def _effects(messages):
-    from pyspark.sql import functions as F
-
-    from tapeloom.operators import orders
+def _messages(spark, args):
+    from tapeloom.sources import capture, wire
 
-    core = messages.filter(F.col("type").isin("A", "F", "E", "C", "X", "D"))
-    return orders.effects(core.select("seq", "ts_ns", "order_ref", "locate", F.coalesce("side", F.lit("")).alias("side"), "type", F.coalesce("shares", F.lit(0)).alias("shares"), F.coalesce("price", F.lit(0)).alias("price")))
+    return wire.decode(capture.read_frames(spark, args.capture, args.framing), TYPES, strict=False)
 
 
 def replay(args) -> int:
     from tapeloom.operators import orders
 
     spark = _spark()
-    messages = _messages(spark, args)
-    effect = _effects(messages)
+    effect = orders.effects(_messages(spark, args))
     out = orders.summary(effect, orders.resting(effect)).first().asDict()
-    out["skipped_by_type"] = {r.type: r["count"] for r in messages.filter("order_ref is null").groupBy("type").count().collect()}
+    out["skipped_by_type"] = {r.type: r["count"] for r in effect.filter("status = 'none'").groupBy("type").count().collect()}
     print(json.dumps(out, sort_keys=True))
     return OK
 
 
 def trades(args) -> int:
     from tapeloom.functions.scalars import prints_csv
-    from tapeloom.operators import orders, tape
+    from tapeloom.operators import orders, session, tape
     from tapeloom.sources import tables
 
     spark = _spark()
-    prints = orders.prints(_effects(_messages(spark, args)))
+    messages = _messages(spark, args)
+    effect = orders.effects(messages)
+    prints = orders.prints(effect)
     if args.csv:
-        prints.orderBy("match_number").select(prints_csv().alias("value")).coalesce(1).write.mode("overwrite").text(args.csv)
-    out = {"prints": prints.count()}
+        prints.orderBy("seq").select(prints_csv().alias("value")).coalesce(1).write.mode("overwrite").text(args.csv)
+    if args.stats_csv:
+        stats = orders.with_symbol(orders.locate_stats(effect), orders.symbols(messages))
+        names = ["locate", "symbol", "prints", "unpriced", "min_tick", "max_tick", "shares", "vwap_micro"]
+        stats.select(names).orderBy("locate").coalesce(1).write.mode("overwrite").csv(args.stats_csv, header=True)
+    windows = session.halt_windows(messages.filter("type = 'H'").select("seq", "ts_ns", "locate", "state"))
+    out = orders.print_counters(effect).first().asDict() | {"prints_during_halts": session.halted(prints, windows).count()}
     if args.diff:
         out |= tape.diff_report(prints, tables.read_prints(spark, args.diff)).first().asDict()
     print(json.dumps(out, sort_keys=True))
@@ -116,6 +115,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "trades":
             p.add_argument("--csv")
             p.add_argument("--diff")
+            p.add_argument("--stats-csv")
         p.set_defaults(f=f)
     p = verbs.add_parser("simrun")
     p.add_argument("script")

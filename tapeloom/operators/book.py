@@ -109,6 +109,8 @@ class Book:
             return "out_of_band"
         if old not in self.orders:
             return "unknown_order"
+        if new == 0:
+            return "zero_ref"
         if new != old and new in self.orders:
             return "duplicate_ref"
         side = self.orders[old][0]

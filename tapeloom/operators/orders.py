@@ -1,63 +1,199 @@
 """Orders and the book: what each message did to its order, and the resting book that remains.
 
-A message's effect on one order depends only on the earlier messages of that order: messages are dealt and
-sorted by reference, and one pass over each partition in Arrow batches folds them, so a history never has
-to fit into memory. A rejected message changes nothing, which a running sum couldn't say. Books with replace
-chains go to ``tapeloom.operators.runs.book_fold``.
+A message's effect on an order depends only on the earlier messages of that order's replace chain: messages are
+dealt and sorted by chain, and one pass over each partition folds them in Arrow batches, the k-th messages of all
+chains of a batch in one step. What is kept between batches is the state of one chain, so a history never has to
+fit into memory. A rejected message changes nothing, which a running sum couldn't say. Messages without an order
+are no part of the pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.operators import chains
+
 ADDS, REDUCES = ("A", "F"), ("E", "C", "X")
+CORE = (*ADDS, *REDUCES, "D", "U")
+_ADD, _REDUCE, _DELETE, _REPLACE = range(4)
+_KINDS = np.array([_ADD] * 2 + [_REDUCE] * 3 + [_DELETE, _REPLACE])
+STATUS = ("ok", "zero_ref", "bad_qty", "out_of_band", "duplicate_ref", "unknown_order", "over_execute")
+_OK, _ZERO, _QTY, _BAND, _TWICE, _UNKNOWN, _OVER = range(7)
+#: What had last happened to the reference that a message names.
+FATES = ("never_added", "resting", "deleted", "drained", "replaced")
+_NEVER, _RESTING, _DELETED, _DRAINED, _REPLACED = range(5)
+EFFECT = "status string, remaining long, taken long, add_price long, order_side string, fate string"
+#: Steps over fewer chains than this go message by message.
+MANY = 16
+
+
+class _Fold:
+    """One batch of messages in order of chain and position."""
+
+    def __init__(self, batch: pa.RecordBatch, lo: int | None, hi: int | None, carry: tuple[int | None, dict[int, tuple]]):
+        def numbers(name: str) -> np.ndarray:
+            return pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        self.n = batch.num_rows
+        self.chain, self.own, self.qty, self.price = (numbers(c) for c in ("_chain", "order_ref", "shares", "price"))
+        self.kind = _KINDS[pc.index_in(batch.column("type"), pa.array(CORE)).to_numpy(zero_copy_only=False).astype(np.int64)]
+        self.outside = pc.is_null(batch.column("price")).to_numpy(zero_copy_only=False)
+        if lo is not None:
+            self.outside = self.outside | (self.price < lo) | (self.price >= hi)
+        self.side = pc.fill_null(pc.index_in(batch.column("side"), pa.array(["B", "S"])), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        other = np.where(self.kind == _REPLACE, numbers("new_ref"), self.own) if "new_ref" in batch.schema.names else self.own
+        self.refs, place = np.unique(np.concatenate([self.own, other]), return_inverse=True)
+        self.ref, self.new, self.new_own = place[: self.n], place[self.n :], other
+        k = len(self.refs)
+        self.left, self.entry, self.entry_side, self.last = np.zeros(k, np.int64), np.zeros(k, np.int64), np.full(k, -1), np.full(k, _NEVER)
+        self.before = carry
+        if self.n and carry[0] == self.chain[0]:
+            at = np.searchsorted(self.refs, list(carry[1]))
+            for i, (ref, state) in zip(at.tolist(), carry[1].items(), strict=True):
+                if i < k and self.refs[i] == ref:
+                    self.left[i], self.entry[i], self.entry_side[i], self.last[i] = state
+        self.status, self.fate = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        self.remaining, self.taken, self.level, self.level_side = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64), np.zeros(self.n, np.int64), np.full(self.n, -1)
+
+    def run(self) -> None:
+        first = np.flatnonzero(np.diff(self.chain, prepend=self.chain[0] - 1))
+        size = np.diff(np.append(first, self.n))
+        place = np.arange(self.n) - np.repeat(first, size)
+        order = np.argsort(place, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(place))]).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a < MANY:
+                self._singly(np.sort(order[a:]))
+                break
+            self._together(order[a:b])
+
+    def _together(self, rows: np.ndarray) -> None:
+        r, new, kind, qty, price = self.ref[rows], self.new[rows], self.kind[rows], self.qty[rows], self.price[rows]
+        was = self.left[r]
+        add, reduce, delete, replace = (kind == k for k in range(4))
+        dead, outside = was == 0, self.outside[rows]
+        status = np.where(dead, _UNKNOWN, _OK)
+        status[reduce & ~dead & (qty > was)] = _OVER
+        status[add] = np.where(dead, _OK, _TWICE)[add]
+        status[replace & ~dead & (new != r) & (self.left[new] > 0)] = _TWICE
+        status[replace & ~dead & (self.new_own[rows] == 0)] = _ZERO
+        status[(add | replace) & outside] = _BAND
+        status[~delete & (qty <= 0)] = _QTY
+        status[add & (self.own[rows] == 0)] = _ZERO
+        ok = status == _OK
+        self.status[rows], self.fate[rows] = status, self.last[r]
+        add, reduce, delete, replace = add & ok, reduce & ok, delete & ok, replace & ok
+        self.taken[rows] = taken = np.where(reduce, qty, np.where(delete | replace, was, 0))
+        self.entry[r[add]], self.entry_side[r[add]] = price[add], self.side[rows[add]]
+        self.level[rows], self.level_side[rows] = self.entry[r], self.entry_side[r]
+        self.left[r] = np.where(add, qty, was - taken)
+        self.last[r[ok]] = np.where(replace, _REPLACED, np.where(delete, _DELETED, np.where(reduce & (was == taken), _DRAINED, _RESTING)))[ok]
+        to = new[replace]
+        self.left[to], self.entry[to], self.entry_side[to], self.last[to] = qty[replace], price[replace], self.entry_side[r[replace]], _RESTING
+        self.remaining[rows] = self.left[np.where(replace, new, r)]
+
+    def _singly(self, rows: np.ndarray) -> None:
+        left, entry, entry_side, last = (x.tolist() for x in (self.left, self.entry, self.entry_side, self.last))
+        out = []
+        for r, own, new, new_own, kind, qty, price, outside, side in zip(*(x[rows].tolist() for x in (self.ref, self.own, self.new, self.new_own, self.kind, self.qty, self.price, self.outside, self.side)), strict=True):
+            was, taken, fate, at = left[r], 0, last[r], r
+            if kind == _ADD:
+                status = _ZERO if own == 0 else _QTY if qty <= 0 else _BAND if outside else _TWICE if was else _OK
+                if status == _OK:
+                    left[r], entry[r], entry_side[r], last[r] = qty, price, side, _RESTING
+                level, level_side = entry[r], entry_side[r]
+            else:
+                level, level_side = entry[r], entry_side[r]
+                if kind == _REDUCE:
+                    status = _QTY if qty <= 0 else _UNKNOWN if not was else _OVER if qty > was else _OK
+                    taken = qty if status == _OK else 0
+                elif kind == _DELETE:
+                    status, taken = (_OK, was) if was else (_UNKNOWN, 0)
+                else:
+                    status = _QTY if qty <= 0 else _BAND if outside else _UNKNOWN if not was else _ZERO if new_own == 0 else _TWICE if new != r and left[new] else _OK
+                    taken = was if status == _OK else 0
+                if status == _OK:
+                    left[r] = was - taken
+                    last[r] = _REPLACED if kind == _REPLACE else _DELETED if kind == _DELETE else _DRAINED if was == taken else _RESTING
+                    if kind == _REPLACE:
+                        left[new], entry[new], entry_side[new], last[new], at = qty, price, entry_side[r], _RESTING, new
+            out.append((status, fate, left[at], taken, level, level_side))
+        for column, values in zip((self.status, self.fate, self.remaining, self.taken, self.level, self.level_side), zip(*out, strict=True), strict=True):
+            column[rows] = values
+        self.left, self.entry, self.entry_side, self.last = (np.array(x, np.int64) for x in (left, entry, entry_side, last))
+
+    def carry(self) -> tuple[int | None, dict[int, tuple]]:
+        """The last chain, and the state of its references."""
+        chain = int(self.chain[-1])
+        own = self.chain == chain
+        known = dict(self.before[1]) if self.before[0] == chain else {}
+        for i in np.unique(np.concatenate([self.ref[own], self.new[own]])).tolist():
+            known[int(self.refs[i])] = int(self.left[i]), int(self.entry[i]), int(self.entry_side[i]), int(self.last[i])
+        return chain, known
+
+    def columns(self) -> list[pa.Array]:
+        side = pa.array(["B", "S"]).take(pa.array(self.level_side, mask=self.level_side < 0))
+        level = pa.array(self.level, mask=(self.fate == _NEVER) & ~((self.status == _OK) & (self.kind == _ADD)))
+        return [pa.array(STATUS).take(pa.array(self.status)), pa.array(self.remaining), pa.array(self.taken), level, side, pa.array(FATES).take(pa.array(self.fate))]
 
 
 def effects(messages: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """Every message with status, remaining (of its order, after it), taken (quantity it removed) and
-    add_price. messages(seq, order_ref, locate, side, type, shares, price, ...). Checks, in this order: an add
-    needs a reference, a quantity and a price inside [lo, hi); a reduction needs a quantity, a live order and
-    no more than what remains."""
+    """Every message with status, remaining (of its order, after it; of a replacement, the new order), taken (quantity
+    it removed), add_price and order_side (where its order rested), and fate (what had last happened to its reference).
+    messages(seq, order_ref, locate, side, type, shares, price[, new_ref], ...). Checks, in this order: an add needs a
+    reference, a quantity, a price inside [lo, hi) and no live order of its reference; a reduction needs a quantity, a
+    live order and no more than what remains; a replacement needs a quantity, a price inside, a live order, and a new
+    reference that isn't 0 and has no live order. A null price is outside, a null quantity is 0. Messages of other
+    types or without a reference have the status none."""
+    core = F.coalesce(F.col("type").isin(*CORE) & F.col("order_ref").isNotNull(), F.lit(False))
+    names = messages.columns
+    orders = messages.filter(core)
+    chain = None
+    if "new_ref" in names:
+        chain = chains.roots(messages.filter((F.col("type") == "U") & core).select("order_ref", "new_ref"))
+    if chain is None:
+        keyed = orders.withColumn("_chain", F.col("order_ref").cast("long"))
+    else:
+        keyed = orders.join(chain, orders["order_ref"].cast("long") == F.col("ref"), "left").withColumn("_chain", F.coalesce("root", F.col("order_ref").cast("long"))).drop("ref", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, left, entry = None, 0, None
+        carry: tuple[int | None, dict[int, tuple]] = (None, {})
         for batch in batches:
-            out: tuple[list, ...] = [], [], [], []
-            for own, kind, qty, price in zip(*(batch.column(c).to_pylist() for c in ("order_ref", "type", "shares", "price")), strict=True):
-                if own != ref:
-                    ref, left, entry = own, 0, None
-                status, taken, qty = "none", 0, qty or 0
-                if kind in ADDS:
-                    outside = lo is not None and not lo <= price < hi
-                    status = "zero_ref" if ref == 0 else "bad_qty" if qty <= 0 else "out_of_band" if outside else "duplicate_ref" if left else "ok"
-                    if status == "ok":
-                        left, entry = qty, price
-                elif kind in REDUCES:
-                    status = "bad_qty" if qty <= 0 else "unknown_order" if not left else "over_execute" if qty > left else "ok"
-                    taken = qty if status == "ok" else 0
-                elif kind == "D":
-                    status, taken = ("ok", left) if left else ("unknown_order", 0)
-                left -= taken
-                for column, value in zip(out, (status, left, taken, entry), strict=True):
-                    column.append(value)
-            added = [pa.array(column, t) for column, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "status", "remaining", "taken", "add_price"])
-
-    schema = T.StructType([*messages.schema.fields, *T.StructType.fromDDL("status string, remaining long, taken long, add_price long").fields])
-    return messages.repartition("order_ref").sortWithinPartitions("order_ref", "seq").mapInArrow(run, schema)
+            if not batch.num_rows:
+                continue
+            fold = _Fold(batch, lo, hi, carry)
+            fold.run()
+            carry = fold.carry()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *fold.columns()], [*names, *_EFFECT])
+
+    schema = T.StructType([*messages.schema.fields, *T.StructType.fromDDL(EFFECT).fields])
+    done = keyed.repartition("_chain").sortWithinPartitions("_chain", "seq").mapInArrow(run, schema)
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    aside = messages.filter(~core).select(*names, F.lit("none").alias("status"), zero.alias("remaining"), zero.alias("taken"), none.cast("long").alias("add_price"), none.cast("string").alias("order_side"), F.lit(FATES[0]).alias("fate"))
+    return done.union(aside)
+
+
+_EFFECT = [c.split()[0] for c in EFFECT.split(", ")]
 
 
 def prints(effect: DataFrame) -> DataFrame:
-    """Executions that found their order: E at the order's price, C at its own."""
+    """Executions that found their order: E at the order's price, C at its own; printable is carried, not filtered.
+    The match number is the message's; null if the messages carry none."""
     done = effect.filter(F.col("type").isin("E", "C") & (F.col("status") == "ok"))
     own = F.col("type") == "C"
-    return done.select(F.col("seq").alias("match_number"), "locate", "ts_ns", F.when(own, F.col("price")).otherwise(F.col("add_price")).alias("price_ticks"), "shares", F.lit("Y").alias("printable"), F.when(own, "Y").otherwise("N").alias("with_price"), "order_ref")
+    match = F.col("match_number") if "match_number" in effect.columns else F.lit(None).cast("long")
+    printed = ~own | F.coalesce(F.col("printable"), F.lit(True)) if "printable" in effect.columns else F.lit(True)
+    return done.select(
+        match.alias("match_number"), "locate", "ts_ns", F.when(own, F.col("price")).otherwise(F.col("add_price")).alias("price_ticks"), "shares", F.when(printed, "Y").otherwise("N").alias("printable"), F.when(own, "Y").otherwise("N").alias("with_price"), "order_ref", "seq",
+    )
 
 
 def print_counters(effect: DataFrame) -> DataFrame:
@@ -71,11 +207,18 @@ def print_counters(effect: DataFrame) -> DataFrame:
 
 def resting(effect: DataFrame) -> DataFrame:
     """Live orders with their place of entry: order_ref, locate, side, price, qty, entered."""
-    last = effect.filter(F.col("status") == "ok").groupBy("order_ref").agg(
-        F.max_by("remaining", "seq").alias("qty"),
-        F.max(F.when(F.col("type").isin(*ADDS), F.struct("seq", "locate", "side", "price"))).alias("a"),
-    )
-    return last.filter("qty > 0").select("order_ref", F.col("a.locate").alias("locate"), F.col("a.side").alias("side"), F.col("a.price").alias("price"), "qty", F.col("a.seq").alias("entered"))
+    done = effect.filter(F.col("status") == "ok")
+    enters = F.struct(F.col("seq").alias("entered"), "locate", F.coalesce("order_side", "side").alias("side"), "price")
+    none = F.lit(None).cast(done.select(enters.alias("e")).schema["e"].dataType)
+    state = lambda ref, part, qty, entry: F.struct(F.col(ref).cast("long").alias("order_ref"), F.struct("seq", F.lit(part).alias("part")).alias("at"), qty.cast("long").alias("qty"), entry.alias("entry"))
+    added = F.col("type").isin(*ADDS)
+    if "new_ref" in effect.columns:
+        replaced = F.array(state("order_ref", 0, F.lit(0), none), state("new_ref", 1, F.col("remaining"), enters))
+        states = F.when(F.col("type") == "U", replaced).otherwise(F.array(state("order_ref", 0, F.col("remaining"), F.when(added, enters))))
+    else:
+        states = F.array(state("order_ref", 0, F.col("remaining"), F.when(added, enters)))
+    last = done.select(F.explode(states).alias("s")).select("s.*").groupBy("order_ref").agg(F.max_by("qty", "at").alias("qty"), F.max(F.when(F.col("entry").isNotNull(), F.struct("at", "entry"))).alias("a"))
+    return last.filter("qty > 0").select("order_ref", F.col("a.entry.locate").alias("locate"), F.col("a.entry.side").alias("side"), F.col("a.entry.price").alias("price"), "qty", F.col("a.entry.entered").alias("entered"))
 
 
 def levels(rest: DataFrame) -> DataFrame:
@@ -113,16 +256,17 @@ def depth(level: DataFrame, n: int, alpha: float = 1.0) -> DataFrame:
 
 
 def deltas(effect: DataFrame) -> DataFrame:
-    """Signed quantity changes of levels; their sum is the book."""
-    side = F.max(F.when(F.col("type").isin(*ADDS) & (F.col("status") == "ok"), F.col("side"))).over(W.partitionBy("order_ref").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    rows = effect.withColumn("level_side", side).filter(F.col("status") == "ok")
-    change = F.when(F.col("type").isin(*ADDS), F.col("shares")).otherwise(-F.col("taken"))
-    return rows.select("seq", "locate", F.col("level_side").alias("side"), F.col("add_price").alias("price"), change.alias("delta")).filter("delta != 0")
+    """Signed quantity changes of levels; their sum is the book. A replacement is two, the removal first."""
+    change = lambda part, price, qty: F.struct(F.lit(part).alias("part"), F.col(price).cast("long").alias("price"), qty.cast("long").alias("delta"))
+    gone, new = change(0, "add_price", -F.col("taken")), change(1, "price", F.col("shares"))
+    parts = F.when(F.col("type") == "U", F.array(gone, new)).when(F.col("type").isin(*ADDS), F.array(new)).otherwise(F.array(gone))
+    rows = effect.filter(F.col("status") == "ok").select("seq", "locate", F.col("order_side").alias("side"), F.explode(parts).alias("p"))
+    return rows.select("seq", "locate", "side", "p.price", "p.delta", "p.part").filter("delta != 0")
 
 
 def last_deltas(delta: DataFrame, k: int) -> DataFrame:
     """The last k changes, and how many before them are gone."""
-    kept = delta.orderBy(F.desc("seq")).limit(k)
+    kept = delta.orderBy(F.desc("seq"), F.desc("part")).limit(k)
     return kept.crossJoin(F.broadcast(delta.agg(F.greatest(F.count("*") - k, F.lit(0)).alias("dropped"))))
 
 
@@ -155,14 +299,20 @@ def locate_stats(effect: DataFrame) -> DataFrame:
 
 def error_histogram(effect: DataFrame) -> DataFrame:
     """Failures by error and whether the reference had been added before."""
-    seen = F.max(F.when(F.col("type").isin(*ADDS) & (F.col("status") == "ok"), 1).otherwise(0)).over(W.partitionBy("order_ref").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    rows = effect.withColumn("seen", F.coalesce(seen, F.lit(0)) == 1).filter(~F.col("status").isin("ok", "none"))
-    return rows.groupBy(F.col("status").alias("error"), "seen").agg(F.count("*").alias("n"))
+    rows = effect.filter(~F.col("status").isin("ok", "none"))
+    return rows.groupBy(F.col("status").alias("error"), (F.col("fate") != FATES[0]).alias("seen")).agg(F.count("*").alias("n"))
 
 
 def fates(effect: DataFrame) -> DataFrame:
-    """What had happened to the orders of executions that failed: resting, deleted, drained or never added."""
-    ends = F.when((F.col("type") == "D") & (F.col("status") == "ok"), "deleted").when((F.col("status") == "ok") & (F.col("remaining") == 0), "drained").when(F.col("status") == "ok", "resting")
-    w = W.partitionBy("order_ref").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = effect.withColumn("fate", F.coalesce(F.last(ends, True).over(w), F.lit("never_added")))
-    return rows.filter(F.col("type").isin("E", "C") & (F.col("status") != "ok")).groupBy("fate").agg(F.count("*").alias("n"))
+    """What had happened to the orders of executions that failed: resting, deleted, drained, replaced or never added."""
+    return effect.filter(F.col("type").isin("E", "C") & (F.col("status") != "ok")).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+def symbols(messages: DataFrame) -> DataFrame:
+    """The stock of each locate, as its first add says."""
+    return messages.filter(F.col("type").isin(*ADDS)).groupBy("locate").agg(F.min_by("stock", "seq").alias("symbol"), F.min_by("order_ref", "seq").alias("first_ref"))
+
+
+def with_symbol(rows: DataFrame, symbol: DataFrame) -> DataFrame:
+    """Rows with their locate's symbol. A locate has 16 bits, so there are 65,536 symbols at most to broadcast."""
+    return rows.join(F.broadcast(symbol.select("locate", "symbol")), "locate", "left")

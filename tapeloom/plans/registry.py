@@ -28,27 +28,50 @@ def query(name: str, sql: str | None = None):
 
 # --- messages and the book -------------------------------------------------------------------------------
 
-FOLD = (
-    duck("fx_msg")
-    + """,
-n AS (SELECT *, row_number() OVER (PARTITION BY order_ref ORDER BY seq) AS k FROM fx_msg),
+
+
+def _fold(band: str = "false") -> str:
+    """The fold in SQL: a slot has one live order at most (live_ref), so its messages are folded one after another.
+    ``band`` says when an add's price is outside."""
+    live, bad = "(f.live_ref = n.order_ref AND f.left_qty > 0)", "WHEN n.shares <= 0 THEN 'bad_qty'"
+    add = f"CASE WHEN n.order_ref = 0 THEN 'zero_ref' {bad} WHEN {band} THEN 'out_of_band'"
+    status = f"""CASE WHEN n.type = 'I' THEN 'none' WHEN n.type IN ('A', 'F') THEN {add} WHEN {live} THEN 'duplicate_ref' ELSE 'ok' END
+      WHEN n.type = 'D' THEN CASE WHEN {live} THEN 'ok' ELSE 'unknown_order' END {bad} WHEN NOT {live} THEN 'unknown_order'
+      WHEN n.type <> 'U' AND n.shares > f.left_qty THEN 'over_execute' ELSE 'ok' END"""
+    enters = "type IN ('A', 'F', 'U') AND status = 'ok'"
+    first = f"CASE WHEN n.type = 'I' THEN 'none' WHEN n.type IN ('A', 'F') THEN {add} ELSE 'ok' END WHEN n.type <> 'D' AND n.shares <= 0 THEN 'bad_qty' ELSE 'unknown_order' END"
+    return (
+        duck("fx_msg")
+        + f""",
+n AS (SELECT *, seq % 997 AS slot, row_number() OVER (PARTITION BY seq % 997 ORDER BY seq) AS k FROM fx_msg),
 fold AS (
-  SELECT n.*, CASE WHEN type = 'A' THEN shares ELSE 0 END AS remaining, 0::BIGINT AS taken, CASE WHEN type = 'A' THEN 'ok' WHEN type = 'I' THEN 'none' ELSE 'unknown_order' END AS status,
-    CASE WHEN type = 'A' THEN price END AS add_price FROM n WHERE k = 1
+  SELECT * EXCLUDE (status), status, CASE WHEN {enters} THEN coalesce(new_ref, order_ref) END AS live_ref, CASE WHEN {enters} THEN shares ELSE 0 END AS left_qty, CASE WHEN {enters} THEN shares ELSE 0 END AS remaining,
+    0::BIGINT AS taken, CASE WHEN {enters} THEN price END AS add_price, CASE WHEN {enters} THEN price END AS level, CASE WHEN {enters} THEN seq END AS entered
+  FROM (SELECT n.*, {first} AS status FROM n WHERE k = 1)
   UNION ALL
-  SELECT n.*, f.remaining - CASE WHEN n.type IN ('E', 'C', 'X') AND f.remaining > 0 AND n.shares <= f.remaining THEN n.shares WHEN n.type = 'D' THEN f.remaining ELSE 0 END,
-    CASE WHEN n.type IN ('E', 'C', 'X') AND f.remaining > 0 AND n.shares <= f.remaining THEN n.shares WHEN n.type = 'D' THEN f.remaining ELSE 0 END,
-    CASE WHEN n.type = 'I' THEN 'none' WHEN f.remaining = 0 THEN 'unknown_order' WHEN n.type <> 'D' AND n.shares > f.remaining THEN 'over_execute' ELSE 'ok' END, f.add_price
-  FROM fold f JOIN n ON n.order_ref = f.order_ref AND n.k = f.k + 1),
-rest AS (
-  SELECT order_ref, any_value(locate) AS locate, any_value(side) AS side, max(add_price) AS price, arg_max(remaining, k) AS qty, min(seq) AS entered
-  FROM fold GROUP BY order_ref HAVING arg_max(remaining, k) > 0),
+  SELECT * EXCLUDE (status, was_ref, was_qty, was_level, was_entered), status,
+    CASE WHEN {enters} THEN coalesce(new_ref, order_ref) ELSE was_ref END,
+    CASE WHEN {enters} THEN shares WHEN status = 'ok' AND type = 'D' THEN 0 WHEN status = 'ok' AND type <> 'I' THEN was_qty - shares ELSE was_qty END,
+    CASE WHEN {enters} THEN shares WHEN status = 'ok' AND type = 'D' THEN 0 WHEN status = 'ok' THEN was_qty - shares WHEN type <> 'I' AND was_ref = order_ref THEN was_qty ELSE 0 END,
+    CASE WHEN status <> 'ok' OR type IN ('A', 'F') THEN 0 WHEN type IN ('D', 'U') THEN was_qty ELSE shares END,
+    CASE WHEN type IN ('A', 'F') AND status = 'ok' THEN price WHEN was_ref = order_ref THEN was_level END,
+    CASE WHEN {enters} THEN price ELSE was_level END, CASE WHEN {enters} THEN seq ELSE was_entered END
+  FROM (SELECT n.*, {status} AS status, f.live_ref AS was_ref, f.left_qty AS was_qty, f.level AS was_level, f.entered AS was_entered FROM fold f JOIN n ON n.slot = f.slot AND n.k = f.k + 1)),
+ends AS (SELECT slot, any_value(locate) AS locate, any_value(side) AS side, arg_max(live_ref, k) AS order_ref, arg_max(level, k) AS price, arg_max(left_qty, k) AS qty, arg_max(entered, k) AS entered FROM fold GROUP BY slot),
+rest AS (SELECT order_ref, locate, side, price, qty, entered FROM ends WHERE qty > 0),
 lev AS (SELECT locate, side, price, sum(qty)::BIGINT AS qty, count(*) AS orders FROM rest GROUP BY 1, 2, 3),
+told AS (
+  SELECT order_ref AS ref, seq AS at, CASE WHEN type = 'U' THEN 'replaced' WHEN type = 'D' THEN 'deleted' WHEN remaining = 0 THEN 'drained' ELSE 'resting' END AS fate FROM fold WHERE status = 'ok'
+  UNION ALL SELECT new_ref, seq, 'resting' FROM fold WHERE status = 'ok' AND type = 'U'),
+fated AS (SELECT f.*, coalesce(t.fate, 'never_added') AS fate FROM fold f ASOF LEFT JOIN told t ON t.ref = f.order_ref AND f.seq > t.at),
 pr AS (
-  SELECT seq AS match_number, locate, ts_ns, CASE WHEN type = 'C' THEN price ELSE add_price END AS price_ticks, shares, 'Y' AS printable, CASE WHEN type = 'C' THEN 'Y' ELSE 'N' END AS with_price, order_ref
+  SELECT match_number, locate, ts_ns, CASE WHEN type = 'C' THEN price ELSE add_price END AS price_ticks, shares, CASE WHEN coalesce(printable, true) THEN 'Y' ELSE 'N' END AS printable, CASE WHEN type = 'C' THEN 'Y' ELSE 'N' END AS with_price, order_ref
   FROM fold WHERE type IN ('E', 'C') AND status = 'ok')
 """
-)
+    )
+
+
+FOLD = _fold()
 
 
 def effects(spark: SparkSession, d: str) -> DataFrame:
@@ -74,14 +97,14 @@ def order_effects(spark, d):
     return effects(spark, d).select("seq", "order_ref", "type", "status", "remaining", "taken")
 
 
-@query("band_checks", duck("fx_msg") + "SELECT seq, CASE WHEN price < 102000 THEN 'ok' ELSE 'out_of_band' END AS status FROM fx_msg WHERE type = 'A'")
+@query("band_checks", duck("fx_msg") + "SELECT seq, CASE WHEN order_ref = 0 THEN 'zero_ref' WHEN shares <= 0 THEN 'bad_qty' WHEN price < 102000 THEN 'ok' ELSE 'out_of_band' END AS status FROM fx_msg WHERE type = 'A'")
 def band_checks(spark, d):
     return orders.effects(view(spark, d, "fx_msg").filter("type = 'A'"), 0, 102000).select("seq", "status")
 
 
 @query("print_prices", FOLD + "SELECT match_number, locate, ts_ns, price_ticks, shares, printable, with_price FROM pr")
 def print_prices(spark, d):
-    return orders.prints(effects(spark, d)).drop("order_ref")
+    return orders.prints(effects(spark, d)).drop("order_ref", "seq")
 
 
 @query("print_counters", FOLD + "SELECT count(*) FILTER (type IN ('E','C') AND status = 'ok') AS prints, count(*) FILTER (type IN ('E','C') AND status <> 'ok') AS unpriced, count(*) FILTER (status NOT IN ('ok','none')) AS failed FROM fold")
@@ -116,15 +139,19 @@ def bbo_snapshot(spark, d):
     return orders.best(rest(spark, d))
 
 
-@query("qty_at", FOLD + "SELECT p.side, p.price, coalesce(sum(lev.qty), 0)::BIGINT AS qty FROM (VALUES ('B', 100200), ('S', 100300), ('B', 1)) p(side, price) LEFT JOIN lev ON lev.side = p.side AND lev.price = p.price GROUP BY 1, 2")
+@query("qty_at", FOLD + "SELECT p.side, p.price, coalesce(sum(lev.qty), 0)::BIGINT AS qty FROM (SELECT DISTINCT side, price FROM fx_msg) p LEFT JOIN lev ON lev.side = p.side AND lev.price = p.price GROUP BY 1, 2")
 def qty_at(spark, d):
-    points = spark.createDataFrame([("B", 100200), ("S", 100300), ("B", 1)], "side string, price int")
-    return F.broadcast(points).join(orders.levels(rest(spark, d)), ["side", "price"], "left").groupBy("side", "price").agg(F.coalesce(F.sum("qty"), F.lit(0)).alias("qty"))
+    """What rests at every side and price that a message names."""
+    points = view(spark, d, "fx_msg").select("side", "price").distinct()
+    return points.join(orders.levels(rest(spark, d)), ["side", "price"], "left").groupBy("side", "price").agg(F.coalesce(F.sum("qty"), F.lit(0)).alias("qty"))
 
 
-@query("remaining_of", FOLD + "SELECT r.ref AS order_ref, coalesce(rest.qty, 0)::BIGINT AS remaining, coalesce(rest.side, '?') AS side FROM (SELECT unnest(generate_series(1, 1100)) AS ref) r LEFT JOIN rest ON rest.order_ref = r.ref")
+@query("remaining_of", FOLD + "SELECT r.order_ref, coalesce(rest.qty, 0)::BIGINT AS remaining, coalesce(rest.side, '?') AS side FROM (SELECT order_ref FROM fx_msg UNION SELECT new_ref FROM fx_msg WHERE new_ref IS NOT NULL) r LEFT JOIN rest ON rest.order_ref = r.order_ref")
 def remaining_of(spark, d):
-    return spark.range(1, 1101).select(F.col("id").alias("order_ref")).join(rest(spark, d), "order_ref", "left").select("order_ref", F.coalesce("qty", F.lit(0)).alias("remaining"), F.coalesce("side", F.lit("?")).alias("side"))
+    """What remains of every reference that a message names."""
+    m = view(spark, d, "fx_msg")
+    named = m.select("order_ref").union(m.filter("new_ref IS NOT NULL").select("new_ref")).distinct()
+    return named.join(rest(spark, d), "order_ref", "left").select("order_ref", F.coalesce("qty", F.lit(0)).alias("remaining"), F.coalesce("side", F.lit("?")).alias("side"))
 
 
 @query("queue_ahead", FOLD + """SELECT locate, side, price, order_ref, qty, row_number() OVER w AS place, coalesce(sum(qty) OVER (PARTITION BY locate, side, price ORDER BY entered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
@@ -154,7 +181,8 @@ def live_orders(spark, d):
     return rest(spark, d).agg(F.count("*").alias("live"))
 
 
-DELTAS = FOLD + ", del AS (SELECT seq, locate, side, add_price AS price, CASE WHEN type = 'A' THEN shares ELSE -taken END AS delta FROM fold WHERE status = 'ok' AND CASE WHEN type = 'A' THEN shares ELSE taken END <> 0) "
+DELTAS = FOLD + """, del AS (SELECT seq, locate, side, add_price AS price, -taken AS delta, 0 AS part FROM fold WHERE status = 'ok' AND taken <> 0
+ UNION ALL SELECT seq, locate, side, price, shares, 1 FROM fold WHERE status = 'ok' AND type IN ('A', 'F', 'U')) """
 
 
 @query("level_deltas", DELTAS + "SELECT * FROM del")
@@ -162,12 +190,13 @@ def level_deltas(spark, d):
     return orders.deltas(effects(spark, d))
 
 
-@query("delta_ring", DELTAS + "SELECT *, (SELECT greatest(count(*) - 64, 0) FROM del) AS dropped FROM (SELECT * FROM del ORDER BY seq DESC LIMIT 64) t")
+@query("delta_ring", DELTAS + "SELECT *, (SELECT greatest(count(*) - 64, 0) FROM del) AS dropped FROM (SELECT * FROM del ORDER BY seq DESC, part DESC LIMIT 64) t")
 def delta_ring(spark, d):
     return orders.last_deltas(orders.deltas(effects(spark, d)), 64)
 
 
-@query("book_audit", "SELECT 0::BIGINT AS level_mismatch, 0::BIGINT AS negative_level, 0::BIGINT AS negative_order")
+@query("book_audit", DELTAS + """, folded AS (SELECT locate, side, price, sum(delta) AS d FROM del GROUP BY 1, 2, 3), j AS (SELECT coalesce(lev.qty, 0) AS qty, coalesce(d, 0) AS d FROM lev FULL JOIN folded ON lev.locate = folded.locate AND lev.side = folded.side AND lev.price = folded.price)
+SELECT count(*) FILTER (qty <> d) AS level_mismatch, count(*) FILTER (d < 0) AS negative_level, (SELECT count(*) FROM fold WHERE remaining < 0) AS negative_order FROM j""")
 def book_audit(spark, d):
     e = effects(spark, d)
     return orders.audit(e, orders.resting(e), orders.deltas(e))
@@ -180,18 +209,17 @@ def replay_summary(spark, d):
     return orders.summary(e, orders.resting(e))
 
 
-@query("error_histogram", FOLD + "SELECT status AS error, seen, count(*) AS n FROM (SELECT *, coalesce(max(CASE WHEN type = 'A' AND status = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY order_ref ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seen FROM fold) t WHERE status NOT IN ('ok','none') GROUP BY 1, 2")
+@query("error_histogram", FOLD + "SELECT status AS error, fate <> 'never_added' AS seen, count(*) AS n FROM fated WHERE status NOT IN ('ok','none') GROUP BY 1, 2")
 def error_histogram(spark, d):
     return orders.error_histogram(effects(spark, d))
 
 
-@query("ref_fate", FOLD + """SELECT fate, count(*) AS n FROM (SELECT *, coalesce(last_value(CASE WHEN status = 'ok' AND type = 'D' THEN 'deleted' WHEN status = 'ok' AND remaining = 0 THEN 'drained' WHEN status = 'ok' THEN 'resting' END IGNORE NULLS)
-  OVER (PARTITION BY order_ref ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'never_added') AS fate FROM fold) t WHERE type IN ('E','C') AND status <> 'ok' GROUP BY 1""")
+@query("ref_fate", FOLD + "SELECT fate, count(*) AS n FROM fated WHERE type IN ('E','C') AND status <> 'ok' GROUP BY 1")
 def ref_fate(spark, d):
     return orders.fates(effects(spark, d))
 
 
-@query("add_failures", duck("fx_msg") + "SELECT 'out_of_band' AS error, count(*) AS n FROM fx_msg WHERE type = 'A' AND price >= 102000")
+@query("add_failures", _fold("n.price >= 102000") + "SELECT status AS error, count(*) AS n FROM fold WHERE type IN ('A','F') AND status <> 'ok' GROUP BY 1")
 def add_failures(spark, d):
     e = orders.effects(view(spark, d, "fx_msg"), 0, 102000)
     return e.filter(F.col("type").isin("A", "F") & (F.col("status") != "ok")).groupBy(F.col("status").alias("error")).agg(F.count("*").alias("n"))
@@ -209,9 +237,29 @@ def prints_csv(spark, d):
     return orders.prints(effects(spark, d)).select(S.prints_csv().alias("line"))
 
 
-@query("locate_first_ref", FOLD + "SELECT locate, arg_min(order_ref, entered) AS first_ref FROM (SELECT order_ref, locate, min(seq) AS entered FROM fold WHERE type = 'A' GROUP BY 1, 2) t GROUP BY locate")
+STOCK = "'SY' || (locate * 7 + order_ref % 5)"
+
+
+@query("locate_first_ref", duck("fx_msg") + f"SELECT locate, arg_min(order_ref, seq) AS first_ref, arg_min({STOCK}, seq) AS symbol FROM fx_msg WHERE type IN ('A', 'F') GROUP BY locate")
 def locate_first_ref(spark, d):
-    return view(spark, d, "fx_msg").filter("type = 'A'").groupBy("locate").agg(F.min_by("order_ref", "seq").alias("first_ref"))
+    return orders.symbols(view(spark, d, "fx_msg").withColumn("stock", F.expr(STOCK)))
+
+
+@query("prints_by_symbol", FOLD + f", sym AS (SELECT locate, arg_min({STOCK}, seq) AS symbol FROM fx_msg WHERE type IN ('A', 'F') GROUP BY locate) SELECT symbol, count(*) AS prints, sum(shares)::BIGINT AS volume FROM pr JOIN sym USING (locate) GROUP BY symbol")
+def prints_by_symbol(spark, d):
+    m = view(spark, d, "fx_msg").withColumn("stock", F.expr(STOCK))
+    return orders.with_symbol(orders.prints(orders.effects(m)), orders.symbols(m)).groupBy("symbol").agg(F.count("*").alias("prints"), F.sum("shares").alias("volume"))
+
+
+@query("prints_by_flag", FOLD + "SELECT printable, with_price, count(*) AS prints, sum(shares)::BIGINT AS volume FROM pr GROUP BY 1, 2")
+def prints_by_flag(spark, d):
+    return orders.prints(effects(spark, d)).groupBy("printable", "with_price").agg(F.count("*").alias("prints"), F.sum("shares").alias("volume"))
+
+
+@query("replaced_orders", FOLD + "SELECT order_ref, new_ref, seq, status, taken, remaining, side FROM fold WHERE type = 'U'")
+def replaced_orders(spark, d):
+    """Replacements with what they removed and what rests after them."""
+    return effects(spark, d).filter("type = 'U'").select("order_ref", "new_ref", "seq", "status", "taken", "remaining", "side")
 
 
 # --- session ----------------------------------------------------------------------------------------------
@@ -501,10 +549,10 @@ def fees(spark, d):
 
 
 @query("saturating", """SELECT event_id, least(greatest(a::HUGEINT + b, -9223372036854775808), 9223372036854775807)::BIGINT AS added, least(greatest(a::HUGEINT - b, -9223372036854775808), 9223372036854775807)::BIGINT AS subtracted, least(greatest(a::HUGEINT * b, -9223372036854775808), 9223372036854775807)::BIGINT AS multiplied
-FROM (SELECT event_id, (event_id - 500) * 9007199254740993 AS a, (event_id % 7 - 3) * 900719925474099 AS b FROM events WHERE event_id < 1000) t""")
+FROM (SELECT event_id, (event_id % 1000 - 500) * 9007199254740993 AS a, (event_id % 7 - 3) * 900719925474099 AS b FROM events) t""")
 def saturating(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").filter("event_id < 1000")
-    a, b = (F.col("event_id") - 500) * 9007199254740993, (F.col("event_id") % 7 - 3) * 900719925474099
+    e = spark.read.parquet(f"{d}/events.parquet")
+    a, b = (F.col("event_id") % 1000 - 500) * 9007199254740993, (F.col("event_id") % 7 - 3) * 900719925474099
     return e.select("event_id", S.sat_add(a, b).alias("added"), S.sat_sub(a, b).alias("subtracted"), S.sat_mul(a, b).alias("multiplied"))
 
 
@@ -653,16 +701,16 @@ def static_sweep(spark, d):
 # --- frames -----------------------------------------------------------------------------------------------
 
 
-@query("decode_frames", duck("fx_msg") + """SELECT seq, locate::INT AS locate, ts_ns % 281474976710656 AS ts_ns, type, order_ref, CASE WHEN type = 'A' THEN side END AS side, CASE WHEN type <> 'D' THEN shares END AS shares,
- CASE WHEN type = 'A' THEN 'SYM' || locate END AS stock, CASE WHEN type IN ('A', 'C') THEN price END AS price, CASE WHEN type IN ('E', 'C') THEN seq END AS match_number, CASE WHEN type = 'C' THEN true END AS printable, NULL::VARCHAR AS decode_error
+@query("decode_frames", duck("fx_msg") + """SELECT seq, locate::INT AS locate, ts_ns % 281474976710656 AS ts_ns, type, order_ref, new_ref, CASE WHEN type IN ('A', 'F') THEN side END AS side, CASE WHEN type <> 'D' THEN shares END AS shares,
+ CASE WHEN type IN ('A', 'F') THEN 'SYM' || locate END AS stock, CASE WHEN type = 'F' THEN 'FRM' || locate END AS attribution, CASE WHEN type IN ('A', 'F', 'C', 'U') THEN price END AS price, match_number, printable, NULL::VARCHAR AS decode_error
 FROM fx_msg WHERE type <> 'I'""")
 def decode_frames(spark, d):
     """Every message as a frame and back: encoding and decoding, by SQL functions."""
     from tapeloom.sources import wire
 
-    m = view(spark, d, "fx_msg").filter("type <> 'I'").withColumns({"match_number": F.col("seq"), "stock": F.concat(F.lit("SYM"), F.col("locate")), "printable": F.lit(True), "ts_ns": F.col("ts_ns") % 2**48})
+    m = view(spark, d, "fx_msg").filter("type <> 'I'").withColumns({"stock": F.concat(F.lit("SYM"), F.col("locate")), "attribution": F.concat(F.lit("FRM"), F.col("locate")), "ts_ns": F.col("ts_ns") % 2**48})
     frames = wire.encode(m).select("seq", "type", "frame")
-    return wire.decode(frames, ("A", "E", "C", "X", "D")).select("seq", "locate", "ts_ns", "type", "order_ref", "side", "shares", "stock", "price", "match_number", "printable", "decode_error")
+    return wire.decode(frames, ("A", "F", "E", "C", "X", "D", "U")).select("seq", "locate", "ts_ns", "type", "order_ref", "new_ref", "side", "shares", "stock", "attribution", "price", "match_number", "printable", "decode_error")
 
 
 @query("decode_session", duck("fx_sess") + """SELECT seq, CASE WHEN kind = 'I' THEN 'I' ELSE 'S' END AS type, locate::INT AS locate, CASE WHEN kind = 'I' THEN paired END AS paired, CASE WHEN kind = 'I' THEN imbalance END AS imbalance,
@@ -678,12 +726,14 @@ def decode_session(spark, d):
 
 
 def _scripts(spark, d):
-    kind = F.when(F.col("type") == "A", "ext_add").when(F.col("type").isin("E", "C"), "trade").when(F.col("type") == "I", "strat_limit").when(F.col("type") == "X", "strat_ioc")
-    level = 100000 + 100 * (F.col("order_ref") % 41)
+    slot = F.col("seq") % 997
+    adds = F.col("type").isin("A", "F")
+    kind = F.when(adds, "ext_add").when(F.col("type").isin("E", "C"), "trade").when(F.col("type") == "I", "strat_limit").when(F.col("type") == "X", "strat_ioc")
+    level = 100000 + 100 * (slot % 41)
     price = F.when(F.col("type") == "I", level).otherwise(level + F.when(F.col("side") == "B", -2000).otherwise(2000))
     side = F.when(F.col("type").isin("E", "C"), F.when(F.col("side") == "B", "S").otherwise("B")).otherwise(F.col("side"))
-    rows = view(spark, d, "fx_msg").withColumn("kind", kind).filter("kind is not null")
-    return rows.select((F.col("order_ref") % 5).alias("run"), F.col("seq").alias("line_no"), "kind", F.col("seq").alias("ts_ns"), side.alias("side"), price.alias("price_ticks"), F.col("shares").alias("qty"), (F.col("seq") + 1).alias("ref"), F.lit("none").alias("peg"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("hidden"))
+    rows = view(spark, d, "fx_msg").withColumn("kind", kind).filter("kind is not null AND shares > 0")
+    return rows.select((slot % 5).alias("run"), F.col("seq").alias("line_no"), "kind", F.col("seq").alias("ts_ns"), side.alias("side"), price.alias("price_ticks"), F.col("shares").alias("qty"), (F.col("seq") + 1).alias("ref"), F.lit("none").alias("peg"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("hidden"))
 
 
 def _config():

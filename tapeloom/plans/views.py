@@ -7,16 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 ORDERS = 997  # references of the derived messages
 
 #: The same text runs in both engines; NS is the nanosecond clock of either.
+#: fx_msg: rounds of one message for each of k slots. The first round adds an order in every slot (reference 0 too, and
+#: some without a quantity); in every seventh round from the fourth all are replaced, and the slot's messages name the new
+#: reference from then on, but for some executions, cancels and deletes that still name the first. Later F adds meet
+#: live orders or bring back dead ones.
 SQL = {
     "fx_msg": """
-SELECT event_id AS seq, {ns} AS ts_ns, event_id % {k} AS order_ref, (event_id % {k}) % 8 AS locate,
-  CASE WHEN (event_id % {k}) % 2 = 0 THEN 'B' ELSE 'S' END AS side,
-  CASE WHEN event_id < {k} THEN 'A' WHEN event_type = 'click' THEN 'E' WHEN event_type = 'purchase' THEN 'C'
-       WHEN event_type = 'view' THEN 'X' WHEN event_type = 'error' THEN 'D' ELSE 'I' END AS type,
-  CASE WHEN event_id < {k} THEN 200 + 10 * (user_id % 10) ELSE 1 + user_id % 60 END AS shares,
-  CASE WHEN event_id < {k} THEN 100000 + 100 * ((event_id % {k}) % 41)
-       WHEN event_type = 'purchase' THEN 100000 + CAST(round(value * 100) AS BIGINT) ELSE 0 END AS price
-FROM events WHERE event_id IS NOT NULL AND event_id % {k} <> 0""",
+SELECT event_id AS seq, {ns} AS ts_ns, order_ref, slot % 8 AS locate, CASE WHEN slot % 2 = 0 THEN 'B' ELSE 'S' END AS side, type,
+  CASE WHEN event_id % 89 = 0 AND type IN ('A', 'F', 'E', 'C', 'X') THEN 0 WHEN event_id < {k} THEN 200 + 10 * (user_id % 10)
+       WHEN type = 'U' THEN 100 + user_id % 50 WHEN type = 'F' THEN 50 + user_id % 60 ELSE 1 + user_id % 60 END AS shares,
+  CASE WHEN event_id < {k} THEN 100000 + 100 * (slot % 41) WHEN type = 'U' THEN 100000 + 100 * (event_id % 17) WHEN type = 'F' THEN 100000 + 100 * ((slot + 7) % 41)
+       WHEN type = 'C' THEN 100000 + CAST(round(value * 100) AS BIGINT) ELSE 0 END AS price,
+  CASE WHEN type = 'U' THEN 1000000000 + event_id END AS new_ref, CASE WHEN type IN ('E', 'C') THEN 5000000000 + event_id * 3 END AS match_number,
+  CASE WHEN type = 'C' THEN event_id % 3 <> 0 END AS printable
+FROM (SELECT *, CASE WHEN event_id {div} {k} < 4 OR (event_id % 13 = 0 AND type IN ('E', 'C', 'X', 'D')) THEN slot
+             ELSE 1000000000 + (7 * ((event_id {div} {k} - 4) {div} 7) + 3) * {k} + slot END AS order_ref
+  FROM (SELECT event_id, ts, user_id, value, event_id % {k} AS slot, CASE WHEN event_id < {k} THEN CASE WHEN event_id % 4 = 1 THEN 'F' ELSE 'A' END
+          WHEN event_id {div} {k} % 7 = 3 THEN 'U' WHEN event_type = 'click' THEN 'E' WHEN event_type = 'purchase' THEN 'C' WHEN event_type = 'view' THEN 'X'
+          WHEN event_type = 'error' THEN 'D' WHEN event_id % 5 = 0 THEN 'F' ELSE 'I' END AS type
+        FROM events WHERE event_id IS NOT NULL) a) b""",
     "fx_log": """
 SELECT user_id % 4 AS run, event_id AS seq, CASE WHEN event_type IN ('purchase', 'signup') THEN 'F' ELSE 'P' END AS type,
   {ns} AS ts_ns, event_id AS ref, CASE WHEN user_id % 2 = 0 THEN 'B' ELSE 'S' END AS side,

@@ -17,6 +17,8 @@ from tapeloom.sources.wire import CORE, HEADER, SESSION
 
 FRAMINGS = ("raw", "session", "lenprefix", "mold", "pcap")
 BATCH = 8192
+#: Messages of a file are fewer than 2 to this power.
+FILE_BITS = 40
 #: Packet header, counts of heartbeat and end.
 PACKET, HEARTBEAT, END = 20, 0xFFFF, 0
 #: First bytes of a packet capture -> byte order, nanoseconds in a unit.
@@ -132,13 +134,16 @@ def _walk(data: bytes, framing: str) -> Iterator[tuple[int, int | None, int | No
 
 
 def read_frames(spark: SparkSession, path: str, framing: str = "session", types: tuple[str, ...] | None = None) -> DataFrame:
-    """file, offset, seq (position in the file, or the packet's number), ts_ns (of a packet capture), type, frame.
-    ``types`` are framed but only those are kept; an empty file is an error."""
+    """file, offset, seq (place in the whole stream: files in order of their names, then places in a file), number (of a
+    sequenced message), ts_ns (of a packet capture), type, frame. ``types`` are framed but only those are kept; an empty
+    file is an error."""
     if framing not in FRAMINGS:
         raise ValueError(f"framing is one of {FRAMINGS}")
     wanted = None if types is None else frozenset(types)
     names = [c.split()[0] for c in FRAMES.split(", ")]
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    whole = spark.read.format("binaryFile").load(path)
+    place = {file: k << FILE_BITS for k, file in enumerate(sorted(r.path for r in whole.select("path").collect()))}  # names alone, no contents
 
     def run(batches):
         for batch in batches:
@@ -149,15 +154,14 @@ def read_frames(spark: SparkSession, path: str, framing: str = "session", types:
                 for i, (at, n, ts, frame) in enumerate(_walk(content, framing)):
                     kind = chr(frame[0]) if frame else ""
                     if wanted is None or kind in wanted:
-                        rows.append((file, at, i if n is None else n, ts, kind, frame))
+                        rows.append((file, at, place[file] + i, n, ts, kind, frame))
                     if len(rows) == BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, FRAMES)
+    return whole.select("path", "content").mapInArrow(run, FRAMES)
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:

@@ -1,23 +1,109 @@
 """Hand-computed trades, sessions, diffs, tearsheets and analytics."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions import scalars as S
-from tapeloom.operators import asof, discovery, orders, session, tape, tearsheet
+from tapeloom.operators import asof, chains, discovery, orders, session, tape, tearsheet
+from tapeloom.operators.book import Book
 from tapeloom.schemas import fingerprint
 
-MESSAGE = "seq long, type string, order_ref long, shares long, price long, side string, locate long, ts_ns long"
+MESSAGE = "seq long, type string, order_ref long, shares long, price long, side string, locate long, ts_ns long, new_ref long, match_number long, printable boolean"
+
+
+def messages(spark, rows):
+    """(type, ref, shares, price, side, match, printable[, new_ref])"""
+    return spark.createDataFrame([(i, t, ref, q, px, side, 1, i, *(more or (None,)), match, flag) for i, (t, ref, q, px, side, match, flag, *more) in enumerate(rows)], MESSAGE)
 
 
 def test_trades(spark):
-    rows = [("A", 10, 1000, 100000, "B"), ("E", 10, 400, 0, ""), ("C", 10, 300, 100005, ""), ("D", 10, 0, 0, ""), ("A", 11, 500, 101000, "S"), ("E", 11, 200, 0, ""), ("E", 99, 123, 0, ""), ("C", 11, 100, 99900, "")]
-    e = orders.effects(spark.createDataFrame([(i, *r, 1, i) for i, r in enumerate(rows)], MESSAGE))
-    p = orders.prints(e).orderBy("match_number").collect()
-    assert [(r.price_ticks, r.shares, r.with_price) for r in p] == [(100000, 400, "N"), (100005, 300, "Y"), (101000, 200, "N"), (99900, 100, "Y")]
+    rows = [
+        ("A", 10, 1000, 100000, "B", None, None), ("E", 10, 400, 0, "", 77, None), ("C", 10, 300, 100005, "", 78, True), ("D", 10, 0, 0, "", None, None), ("A", 11, 500, 101000, "S", None, None),
+        ("E", 11, 200, 0, "", 79, None), ("E", 99, 123, 0, "", 80, None), ("C", 11, 100, 99900, "", 81, False),
+    ]
+    e = orders.effects(messages(spark, rows))
+    p = orders.prints(e).orderBy("seq").collect()
+    assert [(r.match_number, r.price_ticks, r.shares, r.printable, r.with_price) for r in p] == [(77, 100000, 400, "Y", "N"), (78, 100005, 300, "Y", "Y"), (79, 101000, 200, "Y", "N"), (81, 99900, 100, "N", "Y")]
     assert tuple(orders.print_counters(e).first()) == (4, 1, 1)
 
 
+def test_trades_after_a_replacement(spark):
+    rows = [("A", 10, 1000, 100000, "B", None, None), ("E", 10, 400, 0, "", 77, None), ("C", 10, 100, 100005, "", 78, False), ("U", 10, 300, 99000, "", None, None, 11), ("E", 11, 50, 0, "", 79, None), ("E", 10, 1, 0, "", 80, None)]
+    e = orders.effects(messages(spark, rows))
+    p = orders.prints(e).orderBy("seq").collect()
+    assert [(r.match_number, r.price_ticks, r.shares, r.printable) for r in p] == [(77, 100000, 400, "Y"), (78, 100005, 100, "N"), (79, 99000, 50, "Y")]
+    assert [tuple(r) for r in orders.resting(e).collect()] == [(11, 1, "B", 99000, 250, 3)]
+    assert [(r.seq, r.side, r.price, r.delta) for r in orders.deltas(e).orderBy("seq", "part").collect()] == [(0, "B", 100000, 1000), (1, "B", 100000, -400), (2, "B", 100000, -100), (3, "B", 100000, -500), (3, "B", 99000, 300), (4, "B", 99000, -50)]
+    assert [tuple(r) for r in orders.fates(e).collect()] == [("replaced", 1)]
+
+
+@pytest.mark.parametrize(("seed", "band", "refs"), [(1, None, 4), (2, (95, 106), 12), (3, None, 400)])
+def test_effects_are_the_book(spark, seed, band, refs):
+    """Dirty streams, against the ordered book: reused and missing references, chains, replacements onto live and onto
+    their own references, reference 0, no quantity, prices outside, types that aren't orders."""
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(3000):
+        t = rnd.choice("AAFECXXDUUS")
+        ref = None if t == "S" else rnd.choice([0, *range(1, refs), 1, 2])
+        rows.append((t, ref, rnd.choice([0, 1, 5, 9, 30]), rnd.randint(94, 107), rnd.choice("BS") if t in "AF" else None, None, None, rnd.choice([0, ref, *range(1, refs)]) if t == "U" else None))
+    lo, hi = band or (None, None)
+    got = orders.effects(messages(spark, rows).repartition(3), lo, hi).orderBy("seq").collect()
+    book = Book(lo, hi)
+    for r, (t, ref, qty, price, side, *_, new) in zip(got, rows, strict=True):
+        was = book.orders.get(ref)
+        level, left = (was[1], was[2]) if was else (None, 0)
+        error = book.apply({"type": t, "order_ref": ref, "shares": qty, "price": price, "side": side, "new_ref": new})
+        assert r.status == ("none" if t == "S" else "ok" if error == "none" else error)
+        if t == "S":
+            continue
+        assert r.remaining == book.remaining(new if t == "U" and error == "none" else ref)
+        if error == "none" and t not in "AF":
+            assert (r.add_price, r.taken) == (level, left - book.remaining(ref) if t != "U" else left)
+            assert r.order_side is not None
+    e = orders.effects(messages(spark, rows), lo, hi)
+    assert {(r.order_ref, r.side, r.price, r.qty) for r in orders.resting(e).collect()} == {(k, *v) for k, v in book.orders.items()}
+    assert tuple(orders.audit(e, orders.resting(e), orders.deltas(e)).first()) == (0, 0, 0)
+    by_level = {(s, p): [r for r, _ in book.queue(s, p)] for s in "BS" for p in book.prices[s]}
+    assert {(r.side, r.price): r.front_ref for r in orders.fronts(orders.resting(e)).collect()} == {k: v[0] for k, v in by_level.items()}
+
+
+def test_null_prices_quantities_and_references(spark):
+    rows = [("A", 1, 5, None, "B", None, None), ("A", 2, None, 100, "B", None, None), ("A", None, 5, 100, "B", None, None), ("A", 3, 5, 100, None, None, None), ("U", 3, 5, None, None, None, None, 4), ("U", 3, 5, 100, None, None, None, None), ("E", 3, None, 0, None, None, None), (None, 3, 1, 1, None, None, None)]
+    for band in ((), (0, 200)):
+        got = orders.effects(messages(spark, rows), *band).orderBy("seq").collect()
+        assert [r.status for r in got] == ["out_of_band", "bad_qty", "none", "ok", "out_of_band", "zero_ref", "bad_qty", "none"]
+    assert orders.effects(messages(spark, rows).limit(0)).count() == 0
+
+
+def test_messages_without_an_order_are_not_dealt(spark):
+    """30 % session messages: no partition holds three times the mean."""
+    own = spark.range(20000).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 < 3, "S").when(F.col("id") % 10 < 6, "A").otherwise("E").alias("type"), F.when(F.col("id") % 10 >= 3, F.col("id") % 1000).alias("order_ref"), F.lit(5).cast("long").alias("shares"), F.lit(100).cast("long").alias("price"), F.lit("B").alias("side"), F.lit(1).cast("long").alias("locate"), F.col("id").alias("ts_ns"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # partitions as they are dealt, however small
+    try:
+        sizes = [r["count"] for r in orders.effects(own).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset(key)
+    assert sum(sizes) == 20000 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_chains_by_rounds_and_in_one_task(spark):
+    rnd = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(25)] + [(None, 1), (2, None)]
+    df = spark.createDataFrame(edges, "order_ref long, new_ref long")
+    want = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in want:
+        for a, b in edges:
+            if a in want and b in want and a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    for few in (None, 3):
+        assert {r.ref: r.root for r in chains.roots(df, few).collect()} == want
+    assert chains.roots(df.limit(0)) is None
+
+
 def test_diff(spark):
     ours = spark.createDataFrame([(77, 100000, 400), (78, 100005, 300)], "match_number long, price_ticks long, shares long")
     theirs = spark.createDataFrame([(77, 100000, 401, 1), (79, 1, 1, 2), (80, 1, 1, 3)], "match_number long, price_ticks long, shares long, line_no int")

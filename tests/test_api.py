@@ -74,6 +74,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert code == 0 and (out["live_orders"], out["best_bid"], out["failed"]) == (1, 500, 0)
     code, out = said("trades", capture)
     assert code == 0 and out["prints"] == 1
+    head = lambda t, ns: t + struct.pack(">HH", 1, 0) + ns.to_bytes(6, "big")
+    priced = head(b"C", 7) + struct.pack(">QIQ", 7, 2, 100) + b"N" + struct.pack(">I", 505)
+    replace = head(b"U", 8) + struct.pack(">QQII", 7, 8, 30, 490)
+    again = head(b"E", 9) + struct.pack(">QIQ", 8, 5, 101)
+    folder = tmp_path / "day"
+    folder.mkdir()
+    (folder / "b.bin").write_bytes(replace + again)  # the day's second file
+    (folder / "a.bin").write_bytes(add + hit + priced)
+    code, out = said("trades", folder, "--csv", tmp_path / "p.csv", "--stats-csv", tmp_path / "stats.csv")
+    assert code == 0 and (out["prints"], out["unpriced"], out["prints_during_halts"]) == (3, 0, 0)
+    text = "".join(p.read_text() for p in (tmp_path / "p.csv").glob("part*"))
+    assert text.split() == ["99,1,6,500,4,Y,N", "100,1,7,505,2,N,Y", "101,1,9,490,5,Y,N"]
+    assert "1,SPY,3,0,490,505,11," in "".join(p.read_text() for p in (tmp_path / "stats.csv").glob("part*"))
+    official = tmp_path / "o.csv"
+    official.write_text("match_number,locate,ts_ns,price_ticks,shares,printable,with_price\n99,1,6,500,4,Y,N\n100,1,7,505,2,N,Y\n101,1,9,490,5,Y,N\n")
+    assert said("trades", folder, "--diff", official)[0] == 0
+    official.write_text(official.read_text().replace("490", "491"))
+    assert said("trades", folder, "--diff", official)[0] == 4
+    code, out = said("replay", folder)
+    assert (out["live_orders"], out["best_bid"], out["messages"]) == (1, 490, 5)
     capture.write_bytes(add + b"Z" * 20)
     assert said("replay", capture)[0] == 5
     script.write_text("nonsense\n")

@@ -5,7 +5,8 @@ import pytest
 
 from tapeloom.plans.registry import ORACLE, QUERIES
 
-D = "/root/testdata/sf0.001"
+#: Ten rounds of fx_msg: replacements twice.
+D = "/root/testdata/sf0.01"
 TABLES = "events lineitem".split()
 
 
