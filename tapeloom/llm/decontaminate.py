@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ WINDOW, STRIDE = 32, 16
 #: A passage must hold so much of the BM25 mass of the item's best passage; a document so much of its n-grams, and of
 #: those of question and answer each.
 RETRIEVE, OVERLAP, PART, NGRAM = 0.3, 0.6, 0.5, 4
-#: Postings of a block; ranges of items; bytes of items in a shard, about; passages that are looked at together.
-BLOCK, RANGES, SHARD_BYTES, TOGETHER = 32, 64, 4 << 20, 5_000
+#: Postings of a block; ranges of items, and wider ones; bytes of items in a shard, about; passages that are looked at together.
+BLOCK, RANGES, COARSE, SHARD_BYTES, TOGETHER = 32, 64, 16, 4 << 20, 5_000
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -116,9 +117,15 @@ class Index:
         at = self.item * RANGES // max(1, len(items))
         self.range_max = np.zeros((len(self.terms), RANGES), np.float32)
         np.maximum.at(self.range_max, (np.repeat(np.arange(len(self.terms)), size), at), self.weight.astype(np.float32))
+        self.coarse_max = self.range_max.reshape(-1, COARSE, RANGES // COARSE).max(2)
         halves = [split_answer(t) for _, t in items]
         self.question, self.answer, self.grams = [_grams(_of(q)) for q, _ in halves], [_grams(_of(a)) for _, a in halves], [_grams(w) for w in words]
 
+    @functools.cached_property
+    def _lists(self) -> dict[int, list[list]]:
+        """Of the terms that were asked for: items, weights, and the blocks' last items and largest weights."""
+        return {}
+
     @functools.cached_property
     def lookup(self) -> columns.Lookup:
         return columns.Lookup(self.terms)
@@ -129,19 +136,20 @@ class Index:
         # of each term: items, weights, largest weight, place in the list, item there; blocks' ends and largest weights, place
         cursors = []
         for t in terms.tolist():
-            a, b, c, d = self.first[t], self.first[t + 1], self.first_block[t], self.first_block[t + 1]
-            items = self.item[a:b]
-            cursors.append([int(items[0]), float(self.most[t]), 0, items, self.weight[a:b], self.block_last[c:d], self.block_max[c:d]])
+            if t not in self._lists:
+                (a, b), (c, d) = self.first[t : t + 2].tolist(), self.first_block[t : t + 2].tolist()
+                self._lists[t] = [x.tolist() for x in (self.item[a:b], self.weight[a:b], self.block_last[c:d], self.block_max[c:d])]
+            own = self._lists[t]
+            cursors.append([own[0][0], float(self.most[t]), 0, *own])
 
         def advance(c: list, to: int) -> None:
             """Moves a list on to its first item at or past ``to``."""
-            block = int(np.searchsorted(c[5], to))
+            block = bisect_left(c[5], to)
             if block == len(c[5]):
                 c[0] = _END
                 return
-            a = max(c[2], block * BLOCK)
-            c[2] = a + int(np.searchsorted(c[3][a : (block + 1) * BLOCK], to))
-            c[0] = int(c[3][c[2]])
+            c[2] = bisect_left(c[3], to, max(c[2], block * BLOCK))
+            c[0] = c[3][c[2]]
 
         while True:
             cursors = [c for c in cursors if c[0] < _END]
@@ -159,10 +167,10 @@ class Index:
                 pivot += 1
             bound, end = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else _END
             for c in cursors[: pivot + 1]:
-                block = int(np.searchsorted(c[5], at))
+                block = bisect_left(c[5], at)
                 if block < len(c[5]):
                     bound += c[6][block]
-                    end = min(end, int(c[5][block]) + 1)
+                    end = min(end, c[5][block] + 1)
             if bound < least:  # no item before the first of these blocks ends can reach it
                 for c in cursors[: pivot + 1]:
                     if c[0] < end:
@@ -170,7 +178,7 @@ class Index:
             elif cursors[0][0] == at:
                 score = 0.0
                 for c in cursors[: pivot + 1]:
-                    score += float(c[4][c[2]])
+                    score += c[4][c[2]]
                     advance(c, at + 1)
                 if score >= least:
                     out.append((at, score))
@@ -204,11 +212,15 @@ class Index:
             if not len(win):
                 continue
             starts = np.flatnonzero(np.diff(win, prepend=-1))
-            ends = np.append(starts[1:], len(win))
-            reach = (np.add.reduceat(self.range_max[own], starts, 0) >= RETRIEVE - 1e-4).any(1)
-            for w in np.flatnonzero(reach).tolist():
-                for d, score in self.wand(own[starts[w] : ends[w]]):
-                    key = int(text[live[win[starts[w]]]]), d
+            counts = np.diff(np.append(starts, len(win)))
+            for table in (self.coarse_max, self.range_max):  # the finer ranges only for what the wider ones leave
+                reach = np.flatnonzero((np.add.reduceat(table[gather(own, starts, counts)], np.cumsum(counts) - counts, 0) >= RETRIEVE - 1e-4).any(1))
+                starts, counts = starts[reach], counts[reach]
+                if not len(reach):
+                    break
+            for a, n in zip(starts.tolist(), counts.tolist(), strict=True):
+                for d, score in self.wand(own[a : a + n]):
+                    key = int(text[live[win[a]]]), d
                     best[key] = max(best.get(key, 0.0), score)
         out, held = [], (-1, None)
         for (t, d), score in sorted(best.items()):
