@@ -31,8 +31,8 @@ ASKED = "bucket int, block int, payload binary"
 SERVED = "block int, bucket int, payload binary"
 
 
-def n_blocks(docs: DataFrame, text_col: str) -> int:
-    return max(8, -(-common.input_bytes(docs.select(text_col), text_col) // BLOCK_BYTES))
+def n_blocks(docs: DataFrame, text_col: str, size: int = BLOCK_BYTES) -> int:
+    return max(8, -(-common.input_bytes(docs.select(text_col), text_col) // size))
 
 
 def n_buckets(blocks: int) -> int:

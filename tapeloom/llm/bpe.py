@@ -27,13 +27,15 @@ from tapeloom.llm.hashing import gather
 #: Unicode's White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Bytes of stored input a block holds about: its ids, bytes and positions are all in memory.
+BLOCK_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
 @functools.lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    at = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    at = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])  # no surrogates
+    every = at.tobytes().decode("utf-32-le")
     out = np.zeros(0x110000, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(pattern, every):
@@ -218,7 +220,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     with open(vocabulary, "rb") as file:
         raw = file.read()
     ranks = docs.sparkSession.sparkContext.broadcast(raw)
-    blocks = B.n_blocks(docs, text_col)
+    blocks = B.n_blocks(docs, text_col, BLOCK_BYTES)
     buckets = B.n_buckets(blocks)
     packed = B.pack(docs, id_col, text_col, blocks)
     served = B.serve(B.ask(packed, _ask(buckets)), _serve(ranks))

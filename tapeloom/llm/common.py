@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +77,17 @@ def _libc():
         return None
 
 
+@functools.lru_cache(maxsize=1)
+def _lean() -> None:
+    """In a Python worker, Arrow allocates from the system's pool on one thread, so that freed memory can go back."""
+    if TaskContext.get() is not None:
+        pa.set_memory_pool(pa.system_memory_pool())
+        pa.set_cpu_count(1)
+
+
 def tidy() -> None:
     """Gives freed memory back to the system: Spark keeps Python workers between tasks, several for each core."""
+    _lean()
     pa.default_memory_pool().release_unused()
     if _libc():
         _libc().malloc_trim(0)
