@@ -183,9 +183,13 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             was, labels = labels, components(linked.filter("a != b"))
             drop(was)
         drop(edges)
+    slim = cut(sets.select("doc_id", "n_shingles", "node"))
+    drop(sets)
+    drop(nodes)
+    copies = slim.filter("node is not null")
     least = copies.groupBy("node").agg(F.min("doc_id").alias("d"))
     if labels is not None:
         least = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = salted_join(least.select("node", "comp"), least.groupBy("comp").agg(F.min("d").alias("d")), "comp", F.col("node")).select("node", "d")
     joined = salted_join(copies.select("doc_id", "n_shingles", "node"), least, "node", F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", F.col("d").alias("component_id")).union(sets.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return joined.select("doc_id", "n_shingles", F.col("d").alias("component_id")).union(slim.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
