@@ -7,11 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def forward(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], bucket: int | None = None) -> DataFrame:
+#: A bucket that holds about PIECE right rows is chosen from their number and span.
+AUTO, PIECE = -1, 1 << 20
+
+
+def _bucket(right: DataFrame, at: str) -> int | None:
+    """Both figures come from one pass over the right side; few rows need no pieces."""
+    lo, hi, n = right.agg(F.min(at), F.max(at), F.count(at)).first()
+    return None if n <= PIECE else max(1, (hi - lo) * PIECE // n)
+
+
+def forward(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], bucket: int | None = AUTO) -> DataFrame:
     """Each left row with the first right row of the same keys at or after it; values are null where none
     comes. One sort, no pairs. With ``bucket`` (a length of time) keys with long histories are cut into
     pieces of that length: a piece takes what follows it from the next piece that has a right row, so no
-    task holds a whole history."""
+    task holds a whole history; by default the length follows from the density of the right rows, None is one piece."""
+    bucket = _bucket(right, right_at) if bucket == AUTO else bucket
     payload = F.struct(*(F.col(v) for v in values))
     l = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType).alias("_value"))
     r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), payload.alias("_value"))

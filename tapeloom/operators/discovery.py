@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.operators import ranks
+
 
 def lead_lag(series: DataFrame, max_lag: int) -> DataFrame:
     """Correlation of x(i) and y(i + lag) for each lag, from centred sums; 0 where either side doesn't vary.
@@ -55,21 +60,75 @@ def temporary_impact(qty: Column, seconds: Column, volume: float, sigma: float,
     return F.signum(qty.cast("double")) * eta * sigma * F.pow(rate / F.lit(volume), F.lit(beta)) * 10000
 
 
-def impact_state(shocks: DataFrame, half_life_ns: float) -> DataFrame:
+def _scan(factor: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """y[k] = factor[k] y[k - 1] + x[k] from y[-1] = 0, in doubling steps over whole arrays."""
+    factor, x, step = factor.copy(), x.copy(), 1
+    while step < x.shape[-1]:
+        x[..., step:] += factor[..., step:] * x[..., :-step].copy()
+        factor[..., step:] *= factor[..., :-step].copy()
+        step *= 2
+    return x
+
+
+def _inside(rate: float, names: list[str]):
+    """Within each block, in batches in order of key, block and seq: sums, decayed sums, and what is left of a unit that
+    stood at the block's first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was = None  # key, block, ts, and the three figures of the last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block, ts, perm, temp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "_block", "ts_ns", "permanent", "temporary"))
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+            gone = np.zeros(len(key))
+            gone[1:] = np.maximum(ts[1:] - ts[:-1], 0)  # a clock that doesn't advance leaves it
+            sums, x = perm.astype(np.float64), np.stack([temp.astype(np.float64), first.astype(np.float64)])
+            if was is not None and was[0] == key[0] and was[1] == block[0]:
+                held = math.exp(-rate * max(int(ts[0]) - was[2], 0))
+                sums[0] += was[3]
+                x[:, 0] = x[:, 0] * [1, 0] + was[4] * held
+            begins = np.flatnonzero(first).tolist()
+            for a, b in zip(begins, [*begins[1:], len(key)], strict=True):
+                np.cumsum(sums[a:b], out=sums[a:b])
+            y = _scan(np.where(first, 0.0, np.stack([np.exp(-rate * gone)] * 2)), x)
+            was = (key[-1], block[-1], int(ts[-1]), sums[-1], y[:, -1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "seq", "ts_ns", "_block")), pa.array(sums), *(pa.array(r) for r in y)], names)
+
+    return run
+
+
+def _across(rate: float, names: list[str]):
+    """What each block starts with, from blocks in order: a row per block, so a loop does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, perm, temp = None, 0, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for key, block, begin, end, p, t, left in zip(*(batch.column(c).to_pylist() for c in ("key", "_block", "begin", "end", "p", "t", "left")), strict=True):
+                if key != own:
+                    own, last, perm, temp = key, begin, 0.0, 0.0
+                temp *= math.exp(-rate * max(begin - last, 0))
+                out.append((block, perm, temp))
+                perm, temp, last = perm + p, temp * left + t, end
+            blocks, perms, temps = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(blocks, pa.int64()), pa.array(perms, pa.float64()), pa.array(temps, pa.float64())], names)
+
+    return run
+
+
+def impact_state(shocks: DataFrame, half_life_ns: float, length: int | None = None) -> DataFrame:
     """Permanent sum and decayed temporary impact after each shock: shocks(key, seq, ts_ns, permanent, temporary).
-    The decay is carried in an array fold per key, which is exact at any time distance."""
-    rate = math.log(2) / half_life_ns
-    hist = shocks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "ts_ns", "permanent", "temporary"))).alias("h"))
-    kind = "array<struct<seq:bigint,permanent:double,temporary:double>>"
-
-    def step(a, s):
-        gone = F.greatest(s["ts_ns"] - a["ts"], F.lit(0).cast("long"))  # a clock that doesn't advance leaves it
-        temp = a["t"] * F.exp(F.lit(-rate) * gone) + s["temporary"]
-        perm = a["p"] + s["permanent"]
-        return F.struct(s["ts_ns"].alias("ts"), perm.alias("p"), temp.alias("t"), F.concat(a["out"], F.array(F.struct(s["seq"].alias("seq"), perm.alias("permanent"), temp.alias("temporary")))).alias("out"))
-
-    start = F.struct(F.col("h")[0]["ts_ns"].alias("ts"), F.lit(0.0).alias("p"), F.lit(0.0).alias("t"), F.expr(f"cast(array() as {kind})").alias("out"))
-    return hist.select("key", F.explode(F.aggregate("h", start, step)["out"]).alias("o")).select("key", "o.seq", F.round("o.permanent", 6).alias("permanent"), F.round("o.temporary", 6).alias("temporary"))
+    The recurrence is linear, so blocks of ``length`` positions are folded for themselves, in one pass over sorted
+    partitions, and each adds what is left of the blocks before it."""
+    rate, kind = math.log(2) / half_life_ns, shocks.schema["key"].dataType.simpleString()
+    rows = shocks.select("key", F.col("seq").cast("long").alias("seq"), F.col("ts_ns").cast("long").alias("ts_ns"), "permanent", "temporary", F.floor(F.col("seq") / F.lit(length or ranks.LENGTH)).cast("long").alias("_block"))
+    inside = rows.repartition("key", "_block").sortWithinPartitions("key", "_block", "seq").mapInArrow(_inside(rate, ["key", "seq", "ts_ns", "_block", "p", "t", "left"]), f"key {kind}, seq long, ts_ns long, _block long, p double, t double, left double")
+    ends = inside.groupBy("key", "_block").agg(F.min_by("ts_ns", "seq").alias("begin"), F.max_by("ts_ns", "seq").alias("end"), *(F.max_by(c, "seq").alias(c) for c in ("p", "t", "left")))
+    starts = ends.repartition("key").sortWithinPartitions("key", "_block").mapInArrow(_across(rate, ["key", "_block", "from_p", "from_t"]), f"key {kind}, _block long, from_p double, from_t double")
+    out = inside.join(starts, ["key", "_block"])
+    return out.select("key", "seq", F.round(F.col("p") + F.col("from_p"), 6).alias("permanent"), F.round(F.col("t") + F.col("from_t") * F.col("left"), 6).alias("temporary"))
 
 
 def trajectory(spark, quantity: float, slices: int, horizon: float, sigma: float, risk: float, eta: float) -> DataFrame:
@@ -98,9 +157,9 @@ def sweep_bands(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Min, mean, max and the interpolated 5, 50 and 95 percent quantiles of each numeric column."""
     pairs = ", ".join(f"'{k}', cast({k} as double)" for k in keys)
     long = runs.select(F.expr(f"stack({len(keys)}, {pairs}) as (key, value)"))
-    q = F.expr("percentile(value, array(0.05, 0.5, 0.95))")
-    out = long.groupBy("key").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.avg("value").alias("mean"), F.max("value").alias("hi"), q.alias("q"))
-    return out.select("key", "n", F.round("lo", 6).alias("lo"), F.round("mean", 6).alias("mean"), F.round("hi", 6).alias("hi"), *(F.round(F.col("q")[i], 6).alias(f"p{p}") for i, p in enumerate((5, 50, 95))))
+    out = long.groupBy("key").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.avg("value").alias("mean"), F.max("value").alias("hi"))
+    out = out.join(ranks.quantiles(long, ["key"], F.col("value"), {"p5": 0.05, "p50": 0.5, "p95": 0.95}), "key", "left")
+    return out.select("key", "n", *(F.round(c, 6).alias(c) for c in ("lo", "mean", "hi", "p5", "p50", "p95")))
 
 
 def distinct_values(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,8 +184,8 @@ def grid(spark, axes: dict[str, str]) -> DataFrame:
 
 def medians(samples: DataFrame, base: DataFrame, limit: float) -> DataFrame:
     """Median of each repetition's median per name, against a base, flagged beyond ``limit`` times it."""
-    inner = samples.groupBy("name", "repetition").agg(F.median("value").alias("m"))
-    outer = inner.groupBy("name").agg(F.median("m").alias("median"))
-    j = outer.join(base.groupBy("name").agg(F.median("value").alias("base")), "name")
+    inner = ranks.quantiles(samples, ["name", "repetition"], F.col("value"), {"m": 0.5})
+    outer = ranks.quantiles(inner, ["name"], F.col("m"), {"median": 0.5})
+    j = outer.join(ranks.quantiles(base, ["name"], F.col("value"), {"base": 0.5}), "name")
     ratio = F.col("median") / F.col("base")
     return j.select("name", F.round("median", 6).alias("median"), F.round(ratio, 6).alias("ratio"), (ratio > limit).alias("slower"))

@@ -26,13 +26,20 @@ def halt_windows(actions: DataFrame) -> DataFrame:
     return ends.filter("open").select("locate", F.col("seq").alias("open_seq"), F.col("ts_ns").alias("start_ns"), "close_seq", "end_ns")
 
 
-def halted(points: DataFrame, windows: DataFrame) -> DataFrame:
+def halted(points: DataFrame, windows: DataFrame, few: int = 1 << 20, shares: int = 1) -> DataFrame:
     """Points (seq, ts_ns, locate) that fall into a window as the stream had told it by then: an open that came
-    later is unknown, a close that came later hasn't closed it."""
+    later is unknown, a close that came later hasn't closed it. Up to ``few`` windows are broadcast; of more, every
+    partition gets all of an instrument's that meet its share of the points."""
     w = windows.select(F.col("locate").alias("_l"), "open_seq", "start_ns", "close_seq", "end_ns")
     told = (F.col("open_seq") < F.col("seq")) & (F.col("start_ns") <= F.col("ts_ns"))
     still = F.col("close_seq").isNull() | (F.col("close_seq") > F.col("seq")) | (F.col("ts_ns") < F.col("end_ns"))
-    return points.join(w, (F.col("locate") == F.col("_l")) & told & still, "left_semi")
+    same = F.col("locate") == F.col("_l")
+    if windows.limit(few + 1).count() <= few:  # some 50 MB at most: prints stay where they are
+        return points.join(F.broadcast(w), same & told & still, "left_semi")
+    salts = shares * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = w.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = points.withColumn("_p", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
+    return dealt.join(spread, same & (F.col("_p") == F.col("_s")) & told & still, "left_semi").drop("_p")
 
 
 def latest_imbalance(noii: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.operators import ranks
+
 
 def diff_report(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Both (match_number, price_ticks, shares): what matches, what differs, and the smallest number that differs.
@@ -65,15 +67,13 @@ def agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         F.count_if(F.col("qa").isNull()).alias("only_theirs"),
         F.count_if(common & (F.col("qa") == F.col("qb")) & (gap <= 1)).alias("exact"),
         F.round(F.avg(gap), 4).alias("mean_gap"),
-        F.round(F.expr("percentile(round(abs(va - vb), 6), 0.5)"), 4).alias("median_gap"),
         F.max(gap).alias("max_gap"),
+        F.lit(0).alias("_k"),
     )
-    at = both.filter(common).select(gap.alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    p95 = at.crossJoin(F.broadcast(stats.select(F.floor(F.col("common") * 0.95).alias("k"))))
-    from pyspark.sql import Window as W
-
-    p95 = p95.withColumn("upto", F.sum("n").over(W.orderBy("g"))).filter("upto > k").agg(F.min("g").alias("p95_gap"))
-    return stats.crossJoin(p95)
+    middle = (F.col("n") - 1) / 2
+    at = ranks.at_ranks(both.withColumn("_k", F.lit(0)), ["_k"], gap, {"lo": F.floor(middle), "hi": F.ceil(middle), "p95_gap": F.floor(F.col("n") * 0.95)})
+    got = stats.join(F.broadcast(at.drop("n")), "_k", "left")  # one row each
+    return got.withColumn("median_gap", F.round((F.col("lo") + F.col("hi")) / 2, 4)).drop("_k", "lo", "hi")
 
 
 def containment(symbols: DataFrame, bars: DataFrame, tolerance: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.operators import asof
+from tapeloom.operators import asof, ranks
 
 HORIZONS_NS = (1_000_000, 10_000_000, 100_000_000)
 TELEMETRY_NS = (1_000, 10_000, 100_000)
@@ -53,16 +53,14 @@ def scalars(log: DataFrame) -> DataFrame:
     return out.withColumn("hit_rate", rate).withColumn("equity_pnl_ticks", F.col("cash_pnl_ticks") + F.col("final_inventory") * F.col("final_mid_ticks")).drop("hits", "measurable")
 
 
-def equity(log: DataFrame) -> DataFrame:
+def equity(log: DataFrame, length: int | None = None) -> DataFrame:
     """Cash, inventory, equity and its running peak (from 0) after every row; rows without a mid are marked at
-    the run's last one."""
-    w = W.partitionBy("run").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("run")
-    last = F.coalesce(F.max_by("mid_ticks", F.when(F.col("mid_ticks") > 0, F.col("seq"))).over(whole), F.lit(0))
+    the run's last one. A run is summed in parts of ``length`` rows, so a long one isn't one task."""
     flow = F.when(_fill(), -signed_qty() * F.col("price_ticks")).otherwise(F.lit(0))
-    rows = log.withColumn("cash", F.sum(flow).over(w)).withColumn("inventory", F.sum(F.when(_fill(), signed_qty()).otherwise(F.lit(0))).over(w))
-    rows = rows.withColumn("equity", F.col("cash") + F.col("inventory") * F.when(F.col("mid_ticks") > 0, F.col("mid_ticks")).otherwise(last))
-    return rows.withColumn("peak", F.greatest(F.lit(0), F.max("equity").over(w))).select("run", "seq", "cash", "inventory", "equity", "peak")
+    rows = ranks.carried(log, ["run"], "seq", {"cash": flow, "inventory": F.when(_fill(), signed_qty()).otherwise(F.lit(0))}, length)
+    last = log.groupBy("run").agg(F.coalesce(F.max_by("mid_ticks", F.when(F.col("mid_ticks") > 0, F.col("seq"))), F.lit(0)).alias("_last"))
+    rows = rows.join(last, "run").withColumn("equity", F.col("cash") + F.col("inventory") * F.when(F.col("mid_ticks") > 0, F.col("mid_ticks")).otherwise(F.col("_last")))
+    return ranks.peaks(rows.select("run", "seq", "_block", "cash", "inventory", "equity"), ["run"], "seq", "equity", "peak", 0).select("run", "seq", "cash", "inventory", "equity", "peak")
 
 
 def drawdown(curve: DataFrame) -> DataFrame:
@@ -77,7 +75,7 @@ def _targets(log: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return fills
 
 
-def markouts(log: DataFrame, horizons: tuple[int, ...] = HORIZONS_NS, bucket: int | None = None) -> DataFrame:
+def markouts(log: DataFrame, horizons: tuple[int, ...] = HORIZONS_NS, bucket: int | None = asof.AUTO) -> DataFrame:
     """Mean move in basis points from a fill to the first print at or past each horizon."""
     prints = log.filter((F.col("type") == "P") & (F.col("price_ticks") > 0)).select("run", "ts_ns", "seq", F.col("price_ticks").alias("next_px"))
     firsts = prints.groupBy("run", "ts_ns").agg(F.min_by("next_px", "seq").alias("next_px"))
@@ -86,7 +84,7 @@ def markouts(log: DataFrame, horizons: tuple[int, ...] = HORIZONS_NS, bucket: in
     return hit.groupBy("run", "horizon_ns").agg(F.count("next_px").alias("measured"), F.round(F.coalesce(F.avg(move), F.lit(0.0)), 6).alias("mean_bps"))
 
 
-def tick_markouts(log: DataFrame, horizons: tuple[int, ...] = TELEMETRY_NS, bucket: int | None = None) -> DataFrame:
+def tick_markouts(log: DataFrame, horizons: tuple[int, ...] = TELEMETRY_NS, bucket: int | None = asof.AUTO) -> DataFrame:
     """Mean move in ticks from a fill to the first mid at or past each horizon; fills that none follows are left out."""
     mids = log.filter("mid_ticks > 0").groupBy("run", "ts_ns").agg(F.min_by("mid_ticks", "seq").alias("next_mid"))
     hit = asof.forward(_targets(log, horizons), mids, ["run"], "target_ns", "ts_ns", ["next_mid"], bucket)
@@ -94,10 +92,10 @@ def tick_markouts(log: DataFrame, horizons: tuple[int, ...] = TELEMETRY_NS, buck
     return hit.groupBy("run", "horizon_ns").agg(F.count("next_mid").alias("measured"), F.round(F.coalesce(F.avg(move), F.lit(0.0)), 6).alias("mean_ticks"))
 
 
-def account(log: DataFrame) -> DataFrame:
+def account(log: DataFrame, length: int | None = None) -> DataFrame:
     """Running cash net of fees, inventory and fees after every fill."""
-    w = W.partitionBy("run").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return log.filter(_fill()).select("run", "seq", F.sum(-signed_qty() * F.col("price_ticks") - F.col("fee_cash")).over(w).alias("net_cash"), F.sum(signed_qty()).over(w).alias("inventory"), F.sum("fee_cash").over(w).alias("fees"))
+    sums = {"net_cash": -signed_qty() * F.col("price_ticks") - F.col("fee_cash"), "inventory": signed_qty(), "fees": F.col("fee_cash")}
+    return ranks.carried(log.filter(_fill()), ["run"], "seq", sums, length).select("run", "seq", *sums)
 
 
 def latency_histogram(log: DataFrame) -> DataFrame:
@@ -120,12 +118,13 @@ def latency_fit(log: DataFrame, least: int = 8) -> DataFrame:
 
 
 def merged(streams: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Streams that share one seq counter as one, in causal order: seq, then the order given here."""
+    """Streams that share one seq counter as one, in causal order: seq, then the order given here: the rows
+    are sorted by both, over range partitions."""
     out = None
     for rank, (name, df) in enumerate(streams):
         one = df.withColumn("stream", F.lit(name)).withColumn("stream_rank", F.lit(rank))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    return out.orderBy("seq", "stream_rank")
 
 
 def quote_changes(quotes: DataFrame) -> DataFrame:
