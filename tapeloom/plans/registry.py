@@ -705,7 +705,7 @@ def static_sweep(spark, d):
  CASE WHEN type IN ('A', 'F') THEN 'SYM' || locate END AS stock, CASE WHEN type = 'F' THEN 'FRM' || locate END AS attribution, CASE WHEN type IN ('A', 'F', 'C', 'U') THEN price END AS price, match_number, printable, NULL::VARCHAR AS decode_error
 FROM fx_msg WHERE type <> 'I'""")
 def decode_frames(spark, d):
-    """Every message as a frame and back: encoding and decoding, by SQL functions."""
+    """Every message as a frame and back: encoding by SQL functions, decoding in arrays."""
     from tapeloom.sources import wire
 
     m = view(spark, d, "fx_msg").filter("type <> 'I'").withColumns({"stock": F.concat(F.lit("SYM"), F.col("locate")), "attribution": F.concat(F.lit("FRM"), F.col("locate")), "ts_ns": F.col("ts_ns") % 2**48})

@@ -1,12 +1,18 @@
-"""Messages as bytes and as columns: framing lengths, decoding by SQL functions, encoding, hashing.
+"""Messages as bytes and as columns: framing lengths, decoding in arrays, encoding, hashing.
 
-Numbers are big-endian. A frame decodes in one projection, so types and columns that nobody asks for cost
-nothing; references of 2^63 and more don't fit a long and are told by decode_error."""
+Numbers are big-endian. Types that nobody asks for cost nothing; references of 2^63 and more don't fit a long and
+are told by decode_error."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.digest import FNV_BASIS, FNV_PRIME, MASK
 
@@ -30,11 +36,6 @@ FIELDS = {
 }
 
 
-def _wide(frame: Column, offset: int) -> Column:
-    """An 8-byte number of 2^63 or more: its first bit is set."""
-    return F.substring(frame, offset + 1, 1) >= F.lit(bytearray(b"\x80"))
-
-
 def number(frame: Column, offset: int, size: int) -> Column:
     return F.conv(F.hex(F.substring(frame, offset + 1, size)), 16, 10).cast("decimal(20,0)")
 
@@ -43,39 +44,83 @@ def text(frame: Column, offset: int, size: int) -> Column:
     return F.rtrim(F.decode(F.substring(frame, offset + 1, size), "ISO-8859-1"), F.lit(" \0"))
 
 
-def _field(frame: Column, offset: int, size: int, kind: str) -> Column:
-    if kind == "u":
-        n = F.conv(F.hex(F.substring(frame, offset + 1, size)), 16, 10).cast("long")
-        return F.when(~_wide(frame, offset), n) if size == 8 else n
-    return text(frame, offset, size) if kind == "c" else text(frame, offset, size) == "Y"
+ERRORS = ("truncated", "unknown_type", "invalid_side", "wide_number")
+
+
+class _Column:
+    """One field of a batch, filled type by type; null where no type fills it."""
+
+    def __init__(self, n: int, kind: str):
+        self.kind, self.there = kind, np.zeros(n, bool)
+        self.values, self.words = np.zeros(n, np.int64), []
+
+    def put(self, rows: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Fills ``rows`` from the field's bytes (a row each); says which don't fit."""
+        self.there[rows] = True
+        size = raw.shape[1]
+        if self.kind == "u":
+            wide = np.zeros((len(rows), 8), np.uint8)
+            wide[:, 8 - size :] = raw
+            self.values[rows] = wide.view(">i8")[:, 0]
+            return wide[:, 0] >= 128
+        if self.kind == "f":
+            self.values[rows] = raw[:, 0] == ord("Y")
+        else:
+            each, which = np.unique(np.ascontiguousarray(raw).view(f"S{size}")[:, 0], return_inverse=True)
+            self.values[rows] = which + len(self.words)
+            self.words += [w.decode("latin-1").rstrip(" \0") for w in each.tolist()]
+        return np.zeros(len(rows), bool)
+
+    def array(self, ok: np.ndarray) -> pa.Array:
+        there = self.there & ok
+        if self.kind == "c":
+            return pa.array(self.words, pa.string()).take(pa.array(self.values, mask=~there))
+        return pa.array(self.values != 0 if self.kind == "f" else self.values, mask=~there)
 
 
 def decode(frames: DataFrame, types: tuple[str, ...] = tuple(FIELDS), strict: bool = False) -> DataFrame:
     """frames(type, frame, ...) -> the same columns, locate, tracking, ts_ns, every field of ``types`` (null where a
-    type lacks it) and decode_error. ``strict`` raises on the first error instead."""
-    frame, kind = F.col("frame"), F.col("type")
-    need = F.element_at(F.create_map(*(F.lit(x) for t, n in (CORE | SESSION).items() for x in (t, n))), kind)
-    columns: dict[str, Column] = {}
-    wide = F.lit(False)
-    for t in types:
-        for name, offset, size, k in FIELDS[t]:
-            columns[name] = (columns[name] if name in columns else F).when(kind == t, _field(frame, offset, size, k))
-            if size == 8 and k == "u":
-                wide |= (kind == t) & _wide(frame, offset)
-    side = F.decode(F.substring(frame, 20, 1), "ISO-8859-1")
-    error = (
-        F.when(F.octet_length(frame) < HEADER, "truncated")
-        .when(need.isNull(), "unknown_type")
-        .when(F.octet_length(frame) < need, "truncated")
-        .when(kind.isin("A", "F") & ~side.isin("B", "S"), "invalid_side")
-        .when(wide, "wide_number")
-    )
-    if strict:
-        error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("decode: "), error))).otherwise(error)
-    ok = error.isNull()
-    kept = [c for c in frames.columns if c not in columns and c not in ("locate", "tracking", "ts_ns")]
-    heads = {"locate": _field(frame, 1, 2, "u").cast("int"), "tracking": _field(frame, 3, 2, "u").cast("int"), "ts_ns": _field(frame, 5, 6, "u")}
-    return frames.select(*kept, *(F.when(ok, c).alias(n) for n, c in (heads | columns).items()), error.alias("decode_error"))
+    type lacks it) and decode_error. ``strict`` raises on the first error instead. Frames are read as arrays of bytes,
+    all of a type in a batch at once."""
+    kinds = {"locate": "u", "tracking": "u", "ts_ns": "u"} | {name: kind for t in types for name, _, _, kind in FIELDS[t]}
+    kept = [c for c in frames.columns if c not in kinds]
+    codes = list((CORE | SESSION).items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            frame = pc.fill_null(batch.column("frame"), b"").cast(pa.large_binary())
+            offs = np.frombuffer(frame.buffers()[1], np.int64)[frame.offset : frame.offset + n + 1] if n else np.zeros(1, np.int64)
+            data = np.frombuffer(frame.buffers()[2], np.uint8) if frame.buffers()[2] is not None else np.zeros(0, np.uint8)
+            size = np.diff(offs)
+            code = pc.fill_null(pc.index_in(batch.column("type"), pa.array([t for t, _ in codes])), -1).to_numpy(zero_copy_only=False)
+            need = np.where(code >= 0, np.array([k for _, k in codes])[code], 0)
+            error = np.where(size < HEADER, 0, np.where(code < 0, 1, np.where(size < need, 0, -1)))
+            columns = {name: _Column(n, kind) for name, kind in kinds.items()}
+            some = np.flatnonzero(error < 0)
+            for name, at, width in (("locate", 1, 2), ("tracking", 3, 2), ("ts_ns", 5, 6)):
+                columns[name].put(some, data[offs[some][:, None] + np.arange(at, at + width)])
+            for k, (t, length) in enumerate(codes):
+                rows = some[code[some] == k]
+                if not len(rows) or (t not in types and t not in "AF"):
+                    continue
+                raw = data[offs[rows][:, None] + np.arange(length)]
+                if t in "AF":
+                    error[rows[(raw[:, 19] != ord("B")) & (raw[:, 19] != ord("S"))]] = 2
+                for name, at, width, _ in FIELDS[t] if t in types else ():
+                    wide = columns[name].put(rows, raw[:, at : at + width])
+                    error[rows[wide & (error[rows] < 0)]] = 3
+            if strict and (error >= 0).any():
+                raise ValueError(f"decode: {ERRORS[error[error >= 0][0]]}")
+            ok = error < 0
+            fields = [c.array(ok).cast(pa.int32()) if name in ("locate", "tracking") else c.array(ok) for name, c in columns.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *fields, pa.array(ERRORS).take(pa.array(error, mask=ok))], [*kept, *columns, "decode_error"])
+
+    ddl = {"u": "long", "c": "string", "f": "boolean"}
+    new = [f"{name} {'int' if name in ('locate', 'tracking') else ddl[kind]}" for name, kind in kinds.items()]
+    schema = T.StructType([*(frames.schema[c] for c in kept), *T.StructType.fromDDL(", ".join([*new, "decode_error string"])).fields])
+    need_cols = frames.select(*dict.fromkeys([*kept, "type", "frame"]))
+    return need_cols.mapInArrow(run, schema)
 
 
 def _hex(value: Column, size: int) -> Column:
