@@ -722,6 +722,143 @@ def decode_session(spark, d):
     return wire.decode(wire.encode(m).select("seq", "type", "frame"), ("I", "S")).select("seq", "type", "locate", "paired", "imbalance", "direction", "near", "code")
 
 
+# --- framings: captures of 4,096 events each, made of frames and walked again --------------------------------
+
+SIZES = "CASE type WHEN 'A' THEN 36 WHEN 'F' THEN 40 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 WHEN 'D' THEN 19 WHEN 'U' THEN 35 WHEN 'S' THEN 12 WHEN 'I' THEN 50 END"
+
+
+def _placed(view_name: str, where: str) -> str:
+    """Each message's file, place in it, size, and the bytes before it."""
+    return duck(view_name) + f""",
+m AS (SELECT *, seq // 4096 AS file, {SIZES} AS size FROM (SELECT *, {"type" if view_name == "fx_msg" else "CASE WHEN kind = 'I' THEN 'I' ELSE 'S' END AS type"} FROM {view_name}) t WHERE {where})
+"""
+
+
+def _content(spark, d, name, pack):
+    """files(path, ordinal, content): ``pack`` makes the hexadecimal text of a file of its frames (seq, ts_ns, h), in order."""
+    from tapeloom.sources import wire
+
+    m = view(spark, d, name)
+    if name == "fx_msg":
+        m = m.filter("type <> 'I'").withColumns({"stock": F.lit("SYM"), "attribution": F.lit("FRM")})
+    else:
+        m = m.withColumns({"code": F.col("kind"), "type": F.when(F.col("kind") == "I", "I").otherwise("S")})
+    framed = wire.encode(m.withColumn("ts_ns", F.col("ts_ns") % 2**48)).select("seq", "ts_ns", F.expr("seq div 4096").alias("ordinal"), F.hex("frame").alias("h"))
+    files = framed.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("seq", "ts_ns", "h"))).alias("fs"))
+    return files.select(F.col("ordinal").cast("string").alias("path"), "ordinal", F.unhex(pack(F.col("fs"))).alias("content"))
+
+
+def _hex(value, size):
+    return F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+
+
+def _walked(frames):
+    return frames.select(F.col("file").cast("long").alias("file"), F.col("offset"), (F.col("seq") % 2**40).alias("place"), F.expr("cast(seq div 1099511627776 as bigint)").alias("ordinal"), "type", F.hex(F.substring("frame", 12, 8)).alias("head"))
+
+
+_HEAD = "CASE WHEN type IN ('S', 'I') THEN NULL ELSE upper(printf('%016x', order_ref)) END"
+_ROW = "file, place - 1 AS place, file AS ordinal, type"
+
+
+@query("frames_raw", _placed("fx_msg", "type <> 'I'") + "SELECT file, (coalesce(sum(size) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS place, file AS ordinal, type, upper(printf('%016x', order_ref)) AS head FROM m".replace(" AS offset", ' AS "offset"'))
+def frames_raw(spark, d):
+    from tapeloom.sources import capture
+
+    return _walked(capture.frames(_content(spark, d, "fx_msg", lambda fs: F.array_join(F.transform(fs, lambda f: f["h"]), "")), "raw"))
+
+
+@query("frames_session", _placed("fx_sess", "true") + """SELECT file, type, count(*) AS n, sum(size)::BIGINT AS bytes FROM m GROUP BY 1, 2""")
+def frames_session(spark, d):
+    """Session messages, which the strict framing refuses."""
+    from tapeloom.sources import capture
+
+    got = capture.frames(_content(spark, d, "fx_sess", lambda fs: F.array_join(F.transform(fs, lambda f: f["h"]), "")), "session")
+    return got.groupBy(F.col("file").cast("long").alias("file"), "type").agg(F.count("*").alias("n"), F.sum(F.octet_length("frame")).alias("bytes"))
+
+
+@query("frames_skipped", _placed("fx_sess", "true") + "SELECT type, count(*) AS n FROM m GROUP BY 1")
+def frames_skipped(spark, d):
+    from tapeloom.sources import capture
+
+    return capture.skipped(capture.frames(_content(spark, d, "fx_sess", lambda fs: F.array_join(F.transform(fs, lambda f: f["h"]), "")), "session"))
+
+
+@query("frames_lenprefix", _placed("fx_msg", "type <> 'I'") + """SELECT file, (2 + coalesce(sum(size + 2) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS place, file AS ordinal, type, upper(printf('%016x', order_ref)) AS head FROM m""")
+def frames_lenprefix(spark, d):
+    from tapeloom.sources import capture
+
+    pack = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat(_hex(F.length(f["h"]) / 2, 2), f["h"])), "")
+    return _walked(capture.frames(_content(spark, d, "fx_msg", pack), "lenprefix"))
+
+
+@query("frames_sequenced", _placed("fx_msg", "type <> 'I'") + """SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) + 6 AS number, type, upper(printf('%016x', order_ref)) AS head FROM m""")
+def frames_sequenced(spark, d):
+    """Packets of eight messages, numbered from 7, and an end."""
+    from tapeloom.sources import capture
+
+    head = lambda first, n: F.concat(F.lit("53" * 10), _hex(first, 8), _hex(n, 2))
+
+    def pack(fs):
+        def packet(k):
+            own = F.slice(fs, k * 8 + 1, F.lit(8))
+            return F.concat(head(k * 8 + 7, F.size(own)), F.array_join(F.transform(own, lambda f: F.concat(_hex(F.length(f["h"]) / 2, 2), f["h"])), ""))
+
+        packets = F.transform(F.sequence(F.lit(0), F.floor((F.size(fs) - 1) / 8).cast("int")), packet)
+        return F.concat(F.array_join(packets, ""), head(F.lit(0), F.lit(0)))
+
+    got = capture.frames(_content(spark, d, "fx_msg", pack), "mold")
+    return got.select(F.col("file").cast("long").alias("file"), "number", "type", F.hex(F.substring("frame", 12, 8)).alias("head"))
+
+
+@query("packets", _placed("fx_msg", "type <> 'I'") + """SELECT ts_ns % 281474976710656 // 1000 * 1000 AS ts_ns, 30000 + file % 1000 AS src_port, 26400 AS dst_port, 17 AS protocol, size, type, upper(printf('%016x', order_ref)) AS head FROM m""".replace("30000 + file % 1000 AS src_port, 26400 AS dst_port, 17 AS protocol", "30001::INT AS src_port, 26400::INT AS dst_port, 17::INT AS protocol"))
+def packets(spark, d):
+    """Packet captures in microseconds: Ethernet, IPv4 and UDP around each frame."""
+    from tapeloom.sources import capture
+
+    little = lambda v: F.concat(*(F.substring(_hex(v, 4), k, 2) for k in (7, 5, 3, 1)))
+
+    def packet(f):
+        size = (F.length(f["h"]) / 2).cast("long")
+        ip = F.concat(F.lit("4500"), _hex(size + 28, 2), F.lit("00000000" + "4011" + "0000" + "0A000001" + "E9360C01"))
+        udp = F.concat(_hex(F.lit(30001), 2), _hex(F.lit(26400), 2), _hex(size + 8, 2), F.lit("0000"))
+        whole = F.concat(F.lit("01005E360C01" + "020000000001" + "0800"), ip, udp, f["h"])
+        sec, sub = F.floor(f["ts_ns"] / 10**9), F.floor(f["ts_ns"] % 10**9 / 1000)
+        return F.concat(little(sec), little(sub), little(size + 42), little(size + 42), whole)
+
+    pack = lambda fs: F.concat(F.lit("D4C3B2A1" + "02000400" + "00000000" * 2 + "FFFF0000" + "01000000"), F.array_join(F.transform(fs, packet), ""))
+    got = capture.packets_of(_content(spark, d, "fx_msg", pack))
+    return got.select("ts_ns", "src_port", "dst_port", "protocol", F.octet_length("payload").alias("size"), F.decode(F.substring("payload", 1, 1), "ISO-8859-1").alias("type"), F.hex(F.substring("payload", 12, 8)).alias("head"))
+
+
+@query("packet_gaps", duck("fx_msg") + """, p AS (SELECT seq // 4096 AS file, seq // 8 AS pkt, min(seq) AS first, count(*) AS n, row_number() OVER (PARTITION BY seq // 4096 ORDER BY seq // 8) AS k FROM fx_msg WHERE seq % 1000 <> 7 GROUP BY 1, 2)
+SELECT file, pkt AS pkt_off, was AS expected, first AS seq, CASE WHEN first > was THEN 'sequence_gap' ELSE 'sequence_regression' END AS error FROM (SELECT *, lag(first + n) OVER (PARTITION BY file ORDER BY pkt) AS was FROM p) t WHERE was <> first""")
+def packet_gaps(spark, d):
+    """Breaks in the numbers of packets from which some messages are gone."""
+    from tapeloom.sources import capture
+
+    m = view(spark, d, "fx_msg").filter("seq % 1000 <> 7")
+    told = m.groupBy(F.expr("seq div 4096").alias("file"), F.expr("seq div 8").alias("pkt_off")).agg(F.min("seq").alias("seq"), F.count("*").alias("count")).withColumn("session", F.lit("S"))
+    return capture.continuity(told).drop("session")
+
+
+@query("tape_binary", duck("fx_theirs") + """,
+t AS (SELECT *, match_number % 5 AS k, match_number % 3000 AS control FROM fx_theirs),
+r AS (SELECT * FROM t WHERE k < 3), c AS (SELECT * FROM t WHERE k = 3), b AS (SELECT * FROM t WHERE k = 4)
+SELECT 'S' || r.symbol AS symbol, r.match_number * 1000 AS ts_ns, chr((65 + r.center)::INT) AS center, r.control::VARCHAR AS control, r.match_number AS seq, coalesce(n.p, r.price_ticks) AS price_ticks, coalesce(n.s, r.shares) AS shares, n.p IS NOT NULL AS corrected
+FROM r LEFT JOIN (SELECT center, control, arg_max(price_ticks, match_number) AS p, arg_max(shares, match_number) AS s FROM b GROUP BY 1, 2) n ON n.center = r.center AND n.control = r.control
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.center = r.center AND c.control = r.control AND c.match_number > r.match_number)""")
+def tape_binary(spark, d):
+    """The official tape as binary reports, cancels and corrections, read and settled."""
+    from tapeloom.sources import tables
+
+    t = view(spark, d, "fx_theirs").withColumn("type", F.when(F.col("match_number") % 5 < 3, "e").when(F.col("match_number") % 5 == 3, "o").otherwise("b"))
+    text = lambda c, n: F.hex(F.encode(F.rpad(c.cast("string"), n, " "), "ISO-8859-1"))
+    head = F.concat(F.hex(F.encode("type", "ISO-8859-1")), F.lit("0000"), _hex(F.col("match_number") * 1000, 6), F.lit("00" * 8), text(F.chr(F.col("center") + 65), 1), text(F.concat(F.lit("S"), F.col("symbol")), 8), F.lit("00"), text(F.col("match_number") % 3000, 10))
+    figures = F.concat(_hex(F.col("price_ticks"), 8), _hex(F.col("shares"), 8))
+    frame = F.when(F.col("type") == "e", F.concat(head, figures)).when(F.col("type") == "o", head).otherwise(F.concat(head, F.lit("00" * 10), figures))
+    return tables.corrected_tape(tables.tape_events(t.select(F.col("match_number").alias("seq"), "type", F.unhex(frame).alias("frame"))))
+
+
 # --- simulations: one group each, no SQL says them ----------------------------------------------------------
 
 

@@ -133,39 +133,57 @@ def _walk(data: bytes, framing: str) -> Iterator[tuple[int, int | None, int | No
         yield from ((at, None, ts, f) for at, ts, _, _, protocol, f in captured(data) if protocol == 17)
 
 
-def read_frames(spark: SparkSession, path: str, framing: str = "session", types: tuple[str, ...] | None = None) -> DataFrame:
-    """file, offset, seq (place in the whole stream: files in order of their names, then places in a file), number (of a
-    sequenced message), ts_ns (of a packet capture), type, frame. ``types`` are framed but only those are kept; an empty
-    file is an error."""
+def frames(files: DataFrame, framing: str = "session", types: tuple[str, ...] | None = None) -> DataFrame:
+    """files(path, ordinal, content) -> file, offset, seq (place in the whole stream: files in order of ``ordinal``, then
+    places in a file), number (of a sequenced message), ts_ns (of a packet capture), type, frame. ``types`` are framed but
+    only those are kept; an empty file is an error."""
     if framing not in FRAMINGS:
         raise ValueError(f"framing is one of {FRAMINGS}")
     wanted = None if types is None else frozenset(types)
     names = [c.split()[0] for c in FRAMES.split(", ")]
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    whole = spark.read.format("binaryFile").load(path)
-    place = {file: k << FILE_BITS for k, file in enumerate(sorted(r.path for r in whole.select("path").collect()))}  # names alone, no contents
 
     def run(batches):
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for file, ordinal, content in zip(*(batch.column(c).to_pylist() for c in ("path", "ordinal", "content")), strict=True):
                 if not content:
                     raise FramingError("empty", 0, file)
                 rows: list[tuple] = []
                 for i, (at, n, ts, frame) in enumerate(_walk(content, framing)):
                     kind = chr(frame[0]) if frame else ""
                     if wanted is None or kind in wanted:
-                        rows.append((file, at, place[file] + i, n, ts, kind, frame))
+                        rows.append((file, at, (ordinal << FILE_BITS) + i, n, ts, kind, frame))
                     if len(rows) == BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return whole.select("path", "content").mapInArrow(run, FRAMES)
+    return files.select("path", F.col("ordinal").cast("long").alias("ordinal"), "content").mapInArrow(run, FRAMES)
+
+
+def read_frames(spark: SparkSession, path: str, framing: str = "session", types: tuple[str, ...] | None = None) -> DataFrame:
+    """``frames`` of the files at a path, in order of their names."""
+    if framing not in FRAMINGS:
+        raise ValueError(f"framing is one of {FRAMINGS}")
+    whole = spark.read.format("binaryFile").load(path)
+    names = sorted(r.path for r in whole.select("path").collect())  # names alone, no contents
+    place = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("path")) - 1 if names else F.lit(0)
+    return frames(whole.select("path", place.alias("ordinal"), "content"), framing, types)
+
+
+def skipped(frame: DataFrame, core: tuple[str, ...] = tuple(CORE)) -> DataFrame:
+    """How many frames of each type a replay passes over."""
+    return frame.filter(~F.col("type").isin(*core)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """Packets of captures with ports and protocol."""
+    return packets_of(spark.read.format("binaryFile").load(path))
+
+
+def packets_of(files: DataFrame) -> DataFrame:
+    """files(content) -> packets with time, ports, protocol and payload."""
     names = [c.split()[0] for c in CAPTURED.split(", ")]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
@@ -176,7 +194,7 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
                 for a in range(0, len(rows), BATCH):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + BATCH], strict=True), kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CAPTURED)
+    return files.select("content").mapInArrow(run, CAPTURED)
 
 
 def continuity(packets: DataFrame) -> DataFrame:

@@ -73,13 +73,41 @@ def read_fixed_tape(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("value <> ''").select(cut(0, 8).cast("long").alias("match_number"), cut(8, 8).cast("long").alias("shares"), F.round(cut(25, 9).cast("decimal(18,6)") * 10000).cast("long").alias("price_ticks"))
 
 
-def tape_events(frames: DataFrame, offsets: dict[str, tuple[int, int]]) -> DataFrame:
-    """Reports (e), cancels (o) and corrections (b) of a binary tape; ``offsets`` names fields' places and sizes."""
+#: Places and sizes of the fields of an official binary tape's reports, cancels and corrections.
+TAPE = {
+    "e": {"ts_ns": (3, 6), "center": (17, 1), "symbol": (18, 8), "control": (27, 10), "price_ticks": (37, 8), "shares": (45, 8)},
+    "o": {"center": (17, 1), "control": (27, 10)},
+    "b": {"center": (17, 1), "control": (27, 10), "price_ticks": (47, 8), "shares": (55, 8)},
+}
+_TEXTS = ("center", "symbol", "control")
+
+
+def tape_events(frames: DataFrame, offsets: dict[str, dict[str, tuple[int, int]]] | None = None) -> DataFrame:
+    """Reports (e), cancels (o) and corrections (b) of a binary tape; a field that a type or a short frame lacks is null."""
     from tapeloom.sources.wire import number as u
     from tapeloom.sources.wire import text
 
-    fields = [(text if name in ("symbol", "center") else lambda f, o, s: u(f, o, s).cast("long"))(F.col("frame"), o, s).alias(name) for name, (o, s) in offsets.items()]
-    return frames.filter(F.col("type").isin("e", "o", "b")).select("seq", "type", *fields)
+    offsets = TAPE if offsets is None else offsets
+    frame, fields = F.col("frame"), []
+    for name in dict.fromkeys(n for own in offsets.values() for n in own):
+        column = None
+        for t, own in offsets.items():
+            if name in own:
+                at, size = own[name]
+                value = text(frame, at, size) if name in _TEXTS else u(frame, at, size).cast("long")
+                column = (F if column is None else column).when((F.col("type") == t) & (F.octet_length(frame) >= at + size), value)
+        fields.append(column.alias(name))
+    return frames.filter(F.col("type").isin(*offsets)).select("seq", "type", *fields)
+
+
+def corrected_tape(events: DataFrame) -> DataFrame:
+    """Prints of ``tape_events`` as the tape left them: without those cancelled later, at their last correction."""
+    from tapeloom.operators.tape import apply_corrections
+
+    key = ["center", "control", "seq"]
+    kind = lambda t, *more: events.filter(F.col("type") == t).select(*key, *more)
+    kept = apply_corrections(kind("e", "price_ticks", "shares"), kind("o"), kind("b", "price_ticks", "shares").filter("shares IS NOT NULL"))
+    return kept.join(kind("e", "ts_ns", "symbol"), key).select("symbol", "ts_ns", *key, "price_ticks", "shares", "corrected")
 
 
 def splitmix(state: int) -> tuple[int, int]:
