@@ -1,4 +1,4 @@
-"""python -m tapeloom VERB: info, selftest, replay, trades, simrun, tearsheet."""
+"""python -m tapeloom VERB: info, selftest, replay, trades, simrun, tearsheet, dump."""
 
 from __future__ import annotations
 
@@ -87,6 +87,15 @@ def tearsheet(args) -> int:
     return OK
 
 
+def dump(args) -> int:
+    from tapeloom.sources import sinks, tables
+
+    rows = tables.read_events(_spark(), args.events).drop("run")
+    sinks.dump(rows, args.out, args.format)
+    print(json.dumps({"rows": rows.count()}))
+    return OK
+
+
 def info(_) -> int:
     import pyspark
 
@@ -127,6 +136,11 @@ def main(argv: list[str] | None = None) -> int:
     p = verbs.add_parser("tearsheet")
     p.add_argument("events")
     p.set_defaults(f=tearsheet)
+    p = verbs.add_parser("dump")
+    p.add_argument("events")
+    p.add_argument("out")
+    p.add_argument("--format", default="csv", choices=("csv", "json", "parquet"))
+    p.set_defaults(f=dump)
     args = parser.parse_args(argv)
     try:
         return args.f(args)

@@ -110,12 +110,49 @@ def grid_summary(scripts: DataFrame, points: DataFrame, config: Config) -> DataF
     return both.groupBy("run", "task_id").applyInPandas(go, ", ".join([head, *(f"`{a}` double" for a in axes), tail]))
 
 
+def grid(points: DataFrame, task: Callable[[dict], dict], schema: str) -> DataFrame:
+    """A user's task of every grid point: a row of ``points`` in, a row of ``schema`` out; a point is a task of its own."""
+    n = max(1, points.count())
+
+    def go(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in frames:
+            rows = [task(r) for r in pdf.to_dict("records")]
+            if rows:
+                yield pd.DataFrame(rows)[[c.split()[0].strip("`") for c in schema.split(", ")]]
+
+    return points.repartition(n).mapInPandas(go, schema)
+
+
 def portfolio(summary: DataFrame) -> DataFrame:
     """Totals over all instruments, and a digest over theirs in order of run."""
     joined = F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("run", "digest"))), lambda x: x["digest"])), 256)
     return summary.agg(F.count("*").alias("instruments"), F.sum("fills").alias("fills"), F.sum("volume_ticks").alias("volume_ticks"), F.sum("fees_cash").alias("fees_cash"), joined.alias("digest"))
 
 
+def divergence(events: DataFrame, run: int, other: int) -> DataFrame:
+    """Where two runs of script_events part: the first seq whose rows differ, and how many both have."""
+    from tapeloom.operators.tape import first_divergence
+
+    fields = ["type", "ts_ns", "ref", "side", "price_ticks", "qty", "fee_cash", "mid_ticks", "ledger"]
+    one, two = (events.filter(F.col("run") == r).select(F.col("seq").alias("idx"), *fields) for r in (run, other))
+    return first_divergence(one, two, ["idx"])
+
+
+def branch_report(scripts: DataFrame, k: int, others: dict[int, DataFrame], config: Config) -> DataFrame:
+    """Every run with its branches: the state at step k (at_fork), and how fills, volume and fees of each branch differ from
+    its run's. ``others`` has the rows that follow the fork by branch number, which is added to the run."""
+    forked = scripts.withColumn("branch", F.lit(0)).withColumn("origin", F.col("run"))
+    for branch, rows in others.items():
+        one = fork(scripts, k, rows, branch)
+        forked = forked.unionByName(one.withColumn("branch", F.lit(branch)).withColumn("origin", F.col("run") - branch))
+    names = forked.select("run", "branch", "origin").distinct()
+    done = script_summary(forked.drop("branch", "origin"), config).join(names, "run")
+    base = done.filter("branch = 0").select(F.col("origin"), *(F.col(c).alias(f"_{c}") for c in ("fills", "volume_ticks", "fees_cash", "digest")))
+    start = at_step(scripts, k, config).select(F.col("run").alias("origin"), F.col("fills").alias("fills_at_fork"))
+    j = done.join(base, "origin").join(start, "origin", "left")
+    return j.select("origin", "branch", "fills", F.coalesce("fills_at_fork", F.lit(0)).alias("fills_at_fork"), *((F.col(c) - F.col(f"_{c}")).alias(f"{c}_change") for c in ("fills", "volume_ticks", "fees_cash")), (F.col("digest") == F.col("_digest")).alias("same"))
+
+
 def at_step(scripts: DataFrame, k: int, config: Config) -> DataFrame:
     """Time travel: the state after the first k rows of every script, by folding them again."""
     return script_summary(scripts.filter(F.col("line_no") < k), config)

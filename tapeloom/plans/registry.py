@@ -859,6 +859,39 @@ def tape_binary(spark, d):
     return tables.corrected_tape(tables.tape_events(t.select(F.col("match_number").alias("seq"), "type", F.unhex(frame).alias("frame"))))
 
 
+@query("read_prints", FOLD + "SELECT match_number, locate::BIGINT AS locate, ts_ns, price_ticks, shares, printable, with_price FROM pr")
+def read_prints(spark, d):
+    """Prints as lines and back."""
+    from tapeloom.sources import tables
+
+    return tables.parse_prints(orders.prints(effects(spark, d)).select(F.col("seq").alias("line_no"), S.prints_csv().alias("line"))).drop("line_no")
+
+
+@query("read_events", LOG + "SELECT seq, type, ts_ns, ref, side, price_ticks, qty, fee_cash, greatest(mid_ticks, 0) AS mid_ticks, ledger, submit_ns FROM fx_log WHERE price_ticks >= 0")
+def read_events(spark, d):
+    from tapeloom.sources import tables
+
+    log = view(spark, d, "fx_log").filter("price_ticks >= 0").withColumn("mid_ticks", F.greatest("mid_ticks", F.lit(0)))
+    return tables.parse_events(log.select(F.col("seq").alias("line_no"), S.events_csv().alias("line"))).drop("run")
+
+
+@query("read_script", duck("fx_msg") + """SELECT seq AS line_no, CASE type WHEN 'A' THEN 'ext_add' WHEN 'E' THEN 'trade' ELSE 'strat_limit' END AS kind, ts_ns, side, price AS price_ticks, shares AS qty, order_ref AS ref,
+ CASE WHEN seq % 4 = 2 THEN 'mid' WHEN seq % 4 = 3 THEN 'bid' ELSE 'none' END AS peg, (CASE WHEN seq % 4 = 2 THEN -3 WHEN seq % 4 = 3 THEN 12 ELSE 0 END)::BIGINT AS "offset", seq % 4 > 0 AS hidden FROM fx_msg WHERE type IN ('A', 'E', 'F')""")
+def read_script(spark, d):
+    from tapeloom.sources import tables
+
+    kind = F.when(F.col("type") == "A", "ext_add").when(F.col("type") == "E", "trade").otherwise("strat_limit")
+    flag = F.when(F.col("seq") % 4 == 1, "nd").when(F.col("seq") % 4 == 2, "mid:-3").when(F.col("seq") % 4 == 3, "bid:+12").otherwise("")
+    m = view(spark, d, "fx_msg").filter("type IN ('A', 'E', 'F')")
+    line = F.concat_ws(",", kind, "ts_ns", "side", "price", "shares", "order_ref", flag)
+    return tables.parse_script(m.select(F.col("seq").alias("line_no"), line.alias("line"))).drop("run")
+
+
+@query("symbol_bars", duck("fx_fill") + "SELECT supp AS symbol, count(*) AS fills, sum(qty)::BIGINT AS volume, min(price_ticks) AS low, max(price_ticks) AS high FROM fx_fill GROUP BY 1")
+def symbol_bars(spark, d):
+    return view(spark, d, "fx_fill").groupBy(F.col("supp").alias("symbol")).agg(F.count("*").alias("fills"), F.sum("qty").alias("volume"), F.min("price_ticks").alias("low"), F.max("price_ticks").alias("high"))
+
+
 # --- simulations: one group each, no SQL says them ----------------------------------------------------------
 
 

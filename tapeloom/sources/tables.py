@@ -15,14 +15,15 @@ EVENTS_HEADER = "type,ts_ns,ref,side,price_ticks,qty,fee_cash,mid_ticks"
 
 
 def _lines(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """Header, and the other lines that aren't empty with their place in the file. One file is one table."""
-    text = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line_no", "line")).filter("line <> ''")
+    """Header, and the other lines that aren't empty, numbered in their order. One file is one table; it is read in
+    splits, so a large one is many tasks."""
+    text = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")).filter("line <> ''")
     first = text.orderBy("line_no").limit(1).collect()
     return (first[0].line if first else ""), text.filter(F.col("line_no") > (first[0].line_no if first else 0))
 
 
 def _whole(c) -> F.Column:
-    return F.when(c.rlike("^-?[0-9]{1,18}$"), c.cast("long"))
+    return F.when(c.rlike("^-?[0-9]{1,19}$"), c.try_cast("long"))
 
 
 def _fail_if(df: DataFrame, bad, message: str) -> DataFrame:
@@ -34,6 +35,11 @@ def read_prints(spark: SparkSession, path: str) -> DataFrame:
     head, lines = _lines(spark, path)
     if head != PRINTS_HEADER:
         raise ValueError(f"header is {head!r}")
+    return parse_prints(lines)
+
+
+def parse_prints(lines: DataFrame) -> DataFrame:
+    """Prints of lines(line_no, line)."""
     f = lines.select("line", "line_no", F.split("line", ",").alias("f"))
     names = ("match_number", "locate", "ts_ns", "price_ticks", "shares")
     out = f.select("line", "line_no", *(_whole(F.get("f", i)).alias(n) for i, n in enumerate(names)), F.get("f", 5).alias("printable"), F.get("f", 6).alias("with_price"))
@@ -45,6 +51,11 @@ def read_script(spark: SparkSession, path: str, run: int = 0) -> DataFrame:
     head, lines = _lines(spark, path)
     if head not in SCRIPT_HEADERS:
         raise ValueError(f"header is {head!r}")
+    return parse_script(lines, run)
+
+
+def parse_script(lines: DataFrame, run: int = 0) -> DataFrame:
+    """Script rows of lines(line_no, line)."""
     f = lines.select("line", "line_no", F.split("line", ",").alias("f"))
     number = lambda i: _whole(F.get("f", i))
     out = f.select("line", F.lit(run).cast("long").alias("run"), F.col("line_no").cast("long").alias("line_no"), F.get("f", 0).alias("kind"), number(1).alias("ts_ns"), F.get("f", 2).alias("side"), number(3).alias("price_ticks"), number(4).alias("qty"), number(5).alias("ref"), flag(F.coalesce(F.get("f", 6), F.lit(""))).alias("_f"))
@@ -59,6 +70,11 @@ def read_events(spark: SparkSession, path: str, run: int = 0) -> DataFrame:
     head, lines = _lines(spark, path)
     if not head.startswith(EVENTS_HEADER):
         raise ValueError(f"header is {head!r}")
+    return parse_events(lines, run)
+
+
+def parse_events(lines: DataFrame, run: int = 0) -> DataFrame:
+    """Event rows of lines(line_no, line)."""
     f = lines.select("line", "line_no", F.split("line", ",").alias("f"))
     number = lambda i: _whole(F.get("f", i))
     out = f.select("line", F.lit(run).cast("long").alias("run"), F.col("line_no").cast("long").alias("seq"), F.get("f", 0).alias("type"), number(1).alias("ts_ns"), number(2).alias("ref"), F.get("f", 3).alias("side"), number(4).alias("price_ticks"), number(5).alias("qty"), number(6).alias("fee_cash"), number(7).alias("mid_ticks"), F.coalesce(F.get("f", 8), F.lit("")).alias("ledger"), F.coalesce(number(9), F.lit(0).cast("long")).alias("submit_ns"))
