@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def drop(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does so when references are collected."""
+    gc.collect()
+    tidy()
+    spark._jvm.System.gc()
+
+
 def _fs(spark, path):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

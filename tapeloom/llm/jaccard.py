@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import blocks as B
 from tapeloom.llm import counts, hashing
-from tapeloom.llm.common import cut, drop, salted_join
+from tapeloom.llm.common import cut, drop, salted_join, sweep
 from tapeloom.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -162,6 +162,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packed = B.pack(docs, id_col, text_col, blocks)
     served = B.serve(B.ask(packed, _ask(buckets)), counts.serve)
     sets = cut(B.answer(packed, served, _answer(buckets), SETS))
+    del packed, served
+    sweep(docs.sparkSession)  # the blocks and their requests
     copies = sets.filter("node is not null")
     nodes = cut(copies.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", *_COLUMNS[3:]))))
     # a prefix token with the number of tokens from it on; those that no other node has stand before all others
@@ -186,6 +188,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = cut(sets.select("doc_id", "n_shingles", "node"))
     drop(sets)
     drop(nodes)
+    sweep(docs.sparkSession)
     copies = slim.filter("node is not null")
     least = copies.groupBy("node").agg(F.min("doc_id").alias("d"))
     if labels is not None:

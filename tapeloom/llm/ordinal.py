@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.llm import columns, hashing
-from tapeloom.llm.common import bounded
+from tapeloom.llm.common import bounded, tidy
 
 #: Rows of the fit at most; dimensions of the hashed features.
 ROWS, BITS = 12_000, 17
@@ -46,8 +46,11 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col
     one = got.groupBy("_id", "_hash", "_y").agg(F.min("_text").alias("_text"))
     # at most ``rows`` rows: the running size needs one order, and one task for so few
     upto = F.sum(F.octet_length("_text").cast("long")).over(W.orderBy("_hash", "_id").rowsBetween(W.unboundedPreceding, 0))
-    own = one.withColumn("_upto", upto).filter(F.col("_upto") <= size).select("_hash", "_id", "_y", "_text").toArrow().sort_by([("_hash", "ascending"), ("_id", "ascending")])
-    return own.column("_text").combine_chunks().cast(pa.large_string()), own.column("_y").to_numpy()
+    own = one.withColumn("_upto", upto).filter(F.col("_upto") <= size).select("_hash", "_id", "_y", F.col("_text").cast("binary").alias("_text")).toArrow()
+    order = pc.sort_indices(own.select(["_hash", "_id"]), [("_hash", "ascending"), ("_id", "ascending")])
+    texts, y = own.column("_text").take(order), own.column("_y").take(order).to_numpy()
+    del own
+    return texts.combine_chunks().cast(pa.large_binary()).cast(pa.large_string()), y
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,12 +114,13 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, ridge: float
     if len(grades) < 2:
         return Model(np.zeros(1 << BITS), np.zeros(0), grades)
     y = np.searchsorted(grades, labels)
-    parts = []
-    for at, _, data, offs in columns.steps(texts):
+    parts = []  # of some texts each: what is worked on at once stays small
+    for a, b, data, offs in columns.steps(texts):
         r, f, v = features(data, offs)
-        parts.append(((r + at).astype(np.int32), f.astype(np.int32), v.astype(np.float32)))
-    r, f, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.append((a, b, r.astype(np.int32), f.astype(np.int32), v.astype(np.float32)))
     n, k = len(texts), len(grades) - 1
+    del texts
+    tidy()
     share = np.clip(np.array([(y > j).mean() for j in range(k)]), 1e-3, 1 - 1e-3)
     theta = np.log((1 - share) / share)
     free = np.append(theta[:1], np.log(np.maximum(np.diff(theta), 1e-3)))  # thresholds stay ordered
@@ -126,8 +130,12 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, ridge: float
     weight *= n / weight.sum()
     for _ in range(epochs):
         theta = np.cumsum(np.append(free[:1], np.exp(free[1:])))
-        _, by_score, by_theta = likelihood(y, np.bincount(r, w[f] * v, n), theta)
-        dw = np.bincount(f, (by_score * weight)[r] * v, len(w)) / n + ridge * w
+        score = np.concatenate([np.bincount(r, w[f] * v, b - a) for a, b, r, f, v in parts])
+        _, by_score, by_theta = likelihood(y, score, theta)
+        by_score *= weight
+        dw = ridge * w
+        for a, b, r, f, v in parts:
+            dw += np.bincount(f, by_score[a:b][r] * v, len(w)) / n
         dt = (by_theta * weight[:, None]).sum(0) / n
         df = np.append(dt.sum(), [dt[j:].sum() * np.exp(free[j]) for j in range(1, k)])
         gw += dw**2
@@ -153,7 +161,9 @@ def _rated(model, texts: pa.Array, least: int) -> tuple[pa.Array, pa.Array]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, where=None) -> Model:
-    return fit(*sample(docs, labels, label_col, rows, id_col, text_col, where))
+    model = fit(*sample(docs, labels, label_col, rows, id_col, text_col, where))
+    tidy()
+    return model
 
 
 def rate(docs: DataFrame, model: Model, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

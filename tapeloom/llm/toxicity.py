@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import columns, hashing
-from tapeloom.llm.common import bounded
+from tapeloom.llm.common import bounded, tidy
 from tapeloom.llm.ordinal import sample
 
 ROWS, CALIBRATE = 12_000, 4  # rows of the fit at most; every fourth calibrates
@@ -233,7 +233,9 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, where=None) -> Model:
-    return Model(*sample(docs, labels, label_col, rows, id_col, text_col, where))
+    model = Model(*sample(docs, labels, label_col, rows, id_col, text_col, where))
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
