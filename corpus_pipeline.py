@@ -14,7 +14,7 @@ from tapeloom.llm.spans import redacted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that are likelier of the lowest grade than not."""
+    """Drops the documents that are likelier of the lowest grade than not; without labels none. Null texts are empty."""
     return ordinal.select_documents(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -33,20 +33,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a test item."""
+    """Drops the documents that hold a test item; null and empty texts hold none, repeated rows go together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts each span's kind in its place."""
+    """Puts each span's kind in its place. Null and empty texts stay; repeated rows and rows of null ids are kept."""
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.when(F.size("spans") > 0, redacted(F.col("doc.text"), by_start)).otherwise(F.col("doc.text"))
-    new = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))}
-    return pii.scan(docs, carry=True).select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+    found = pii.scan(docs, carry=True).select("doc", F.size("spans").alias("n"), F.when(F.size("spans") > 0, redacted(F.col("doc.text"), by_start)).otherwise(F.col("doc.text")).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return found.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded."""
+    """doc_id, n_tokens, ids, decoded; a row for every row, no ids for null and empty texts."""
     return bpe.encode_decode(docs, VOCABULARY)
 
 
