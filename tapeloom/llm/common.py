@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,23 @@ def sweep(spark: SparkSession) -> None:
     gc.collect()
     tidy()
     spark._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """The driver's JVM, too, gives freed memory outside its heap back, if it has the command: after hundreds of plans
+    that is some 100 MB. The server's class isn't public, so its interface's method is called by reflection."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    for i, k in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(k)
+    given[0], given[1], given[2], given[3] = name, "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+    try:
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JJavaError:  # a JVM without the command
+        pass
 
 
 def _fs(spark, path):

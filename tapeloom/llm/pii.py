@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, drop, salted_join
+from tapeloom.llm.common import cut, drop, salted_join, sweep
 from tapeloom.llm.spans import bound, found
 
 KINDS = ("email", "ip", "card", "phone")
@@ -98,6 +98,7 @@ def trusted(contexts: DataFrame, occurs: DataFrame) -> DataFrame:
     """contexts(context, value, left, right, seed, n), occurs(word, occurs) -> the contexts (context) of trusted values with a trusted pattern."""
     graph = cut(contexts.select("context", "value", "seed", "n", F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern")))
     held = graph.groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
+    sweep(contexts.sparkSession)  # the plans of the spans
     single = occurs.select(F.explode(F.array(F.concat("word", F.lit(" _")), F.concat(F.lit("_ "), F.col("word")))).alias("pattern"), "occurs")
     every = held.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("values")).filter(F.col("values") >= SEEDS_LEAST)
     places = cut(every.join(single, "pattern", "left").select("pattern", F.greatest("n", F.coalesce("occurs", F.lit(0))).alias("places")))
