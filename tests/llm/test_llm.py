@@ -15,7 +15,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from tapeloom.llm import backoff, bpe, chat, columns, decontaminate, gif, graph, jaccard, ordinal, pii, queries, secrets, spans, toxicity
+from tapeloom.llm import backoff, bpe, chat, columns, common, decontaminate, gif, graph, jaccard, ordinal, pii, queries, secrets, spans, toxicity
 from tapeloom.llm.common import table
 
 D = "/root/testdata/sf0.001"
@@ -433,3 +433,14 @@ def test_queries_have_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_sweep_leaves_tables_whole(spark):
+    held = common.cut(spark.range(1000))
+    joined = common.cut(held.withColumn("k", F.col("id") % 7).groupBy("k").count())
+    for _ in range(2):
+        common.sweep(spark)
+    assert held.count() == 1000
+    assert sum(r["count"] for r in joined.collect()) == 1000
+    common.drop(held)
+    common.drop(joined)
