@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.operators import folds
 from tapeloom.operators.book import Book
 from tapeloom.operators.simulator import STRATEGY, Config, Order, Simulator, fee_of
 
@@ -17,14 +19,28 @@ EVENTS = "run long, seq long, type string, ts_ns long, ref long, side string, pr
 SCRIPT_KINDS = ("ext_add", "trade", "strat_limit", "strat_ioc", "strat_cancel", "halt", "resume")
 
 
+_EVENT = [c.split()[0] for c in EVENTS.split(", ")][1:]
+
+
 def run_script(rows: Iterable[dict], config: Config) -> tuple[list[dict], dict, Simulator]:
     """Rows (kind, ts_ns, side, price_ticks, qty, ref, peg, offset, hidden) in order: event rows and a summary.
     A row first lets its time pass, then acts, then whatever is due is decided."""
-    sim, events, was = Simulator(config), [], 0
-    total = {"script_rows": 0, "fills": 0, "maker_fills": 0, "taker_fills": 0, "prints": 0, "volume_ticks": 0, "fees_cash": 0}
+    sim, total = Simulator(config), {}
+    events = [dict(zip(_EVENT, e, strict=True)) for e in _script_steps(rows, sim, total, keep=True)]
+    return events, total, sim
+
 
-    def log(kind: str, ts: int, ref: int, side: str, price: int, qty: int, fee: int, ledger: str, submit: int) -> None:
-        events.append({"seq": len(events), "type": kind, "ts_ns": ts, "ref": ref, "side": side, "price_ticks": price, "qty": qty, "fee_cash": fee, "mid_ticks": sim.mid(), "ledger": ledger, "submit_ns": submit})
+def _script_steps(rows: Iterable[dict], sim: Simulator, total: dict, keep: bool = False) -> Iterator[tuple]:
+    """The event rows of a script as they come; ``total`` becomes the summary. Decisions and trades of rows that are done
+    stay with the simulator only if it is to ``keep`` them."""
+    config, count, was = sim.config, 0, 0
+    total |= {"script_rows": 0, "fills": 0, "maker_fills": 0, "taker_fills": 0, "prints": 0, "volume_ticks": 0, "fees_cash": 0}
+
+    def log(*fields) -> tuple:
+        nonlocal count
+        kind, ts, ref, side, price, qty, fee, ledger, submit = fields
+        count += 1
+        return count - 1, kind, ts, ref, side, price, qty, fee, sim.mid(), ledger, submit
 
     for r in rows:
         total["script_rows"] += 1
@@ -49,7 +65,7 @@ def run_script(rows: Iterable[dict], config: Config) -> tuple[list[dict], dict,
         before = len(sim.decisions)
         sim.drain()
         for f in sim.fills:
-            log("F", ts, f["ref"], f["side"], f["price_ticks"], f["qty"], f["fee"], "M", 0)
+            yield log("F", ts, f["ref"], f["side"], f["price_ticks"], f["qty"], f["fee"], "M", 0)
             total["maker_fills"] += 1
             total["volume_ticks"] += f["price_ticks"] * f["qty"]
             total["fees_cash"] += f["fee"]
@@ -57,41 +73,51 @@ def run_script(rows: Iterable[dict], config: Config) -> tuple[list[dict], dict,
         for d in sim.decisions[before:]:
             if d["filled"]:
                 fee = fee_of(d["notional"], config.taker_fee_bps)
-                log("F", ts, d["ref"], d["side"], (d["notional"] + d["filled"] // 2) // d["filled"], d["filled"], fee, "T", d["decision_ts"])
+                yield log("F", ts, d["ref"], d["side"], (d["notional"] + d["filled"] // 2) // d["filled"], d["filled"], fee, "T", d["decision_ts"])
                 total["taker_fills"] += 1
                 total["volume_ticks"] += d["notional"]
                 total["fees_cash"] += fee
         if kind == "trade" and not sim.halted:
             total["prints"] += 1
-            log("P", ts, 0, side, price, qty, 0, "", 0)
+            yield log("P", ts, 0, side, price, qty, 0, "", 0)
+        if not keep:
+            sim.decisions.clear()
+            sim.trades.clear()
     total["fills"] = total["maker_fills"] + total["taker_fills"]
     total["digest"] = sim.digest()[:8].hex()
-    return events, total, sim
 
 
 SUMMARY = "run long, script_rows long, fills long, maker_fills long, taker_fills long, prints long, volume_ticks long, fees_cash long, digest string"
 
 
-def _rows(pdf: pd.DataFrame) -> list[dict]:
-    return pdf.sort_values("line_no").to_dict("records")
+def _head(rows: Iterator[dict]) -> tuple[dict, Iterator[dict]]:
+    first = next(rows)
+    return first, chain([first], rows)
+
+
+def _summary(rows: Iterator[dict], config: Config) -> tuple:
+    total = {}
+    for _ in _script_steps(rows, Simulator(config), total):
+        pass
+    return tuple(total[c.split()[0]] for c in SUMMARY.split(", ")[1:])
 
 
 def script_events(scripts: DataFrame, config: Config) -> DataFrame:
     """scripts(run, line_no, kind, ...): the event log of every run."""
 
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        events, _, _ = run_script(_rows(pdf), config)
-        return pd.DataFrame(events, columns=[c.split()[0] for c in EVENTS.split(", ")][1:]).assign(run=pdf["run"].iloc[0])
+    def go(rows: Iterator[dict]) -> Iterator[tuple]:
+        first, rows = _head(rows)
+        return ((first["run"], *e) for e in _script_steps(rows, Simulator(config), {}))
 
-    return scripts.groupBy("run").applyInPandas(lambda pdf: go(pdf)[[c.split()[0] for c in EVENTS.split(", ")]], EVENTS)
+    return folds.ordered(scripts, ["run"], "line_no", go, EVENTS)
 
 
 def script_summary(scripts: DataFrame, config: Config) -> DataFrame:
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, total, _ = run_script(_rows(pdf), config)
-        return pd.DataFrame([{"run": pdf["run"].iloc[0]} | total])
+    def go(rows: Iterator[dict]) -> Iterator[tuple]:
+        first, rows = _head(rows)
+        yield first["run"], *_summary(rows, config)
 
-    return scripts.groupBy("run").applyInPandas(go, SUMMARY)
+    return folds.ordered(scripts, ["run"], "line_no", go, SUMMARY)
 
 
 def grid_summary(scripts: DataFrame, points: DataFrame, config: Config) -> DataFrame:
@@ -100,14 +126,13 @@ def grid_summary(scripts: DataFrame, points: DataFrame, config: Config) -> DataF
     axes = points.columns
     both = scripts.crossJoin(F.broadcast(points.withColumn("task_id", F.monotonically_increasing_id())))
 
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = {k: type(getattr(config, k)) for k in axes}
-        own = replace(config, **{k: kinds[k](pdf[k].iloc[0]) for k in axes})
-        _, total, _ = run_script(_rows(pdf), own)
-        return pd.DataFrame([{"run": pdf["run"].iloc[0]} | {k: float(pdf[k].iloc[0]) for k in axes} | total])
+    def go(rows: Iterator[dict]) -> Iterator[tuple]:
+        first, rows = _head(rows)
+        own = replace(config, **{k: type(getattr(config, k))(first[k]) for k in axes})
+        yield first["run"], *(float(first[k]) for k in axes), *_summary(rows, own)
 
     head, tail = SUMMARY.split(", ", 1)
-    return both.groupBy("run", "task_id").applyInPandas(go, ", ".join([head, *(f"`{a}` double" for a in axes), tail]))
+    return folds.ordered(both, ["run", "task_id"], "line_no", go, ", ".join([head, *(f"`{a}` double" for a in axes), tail]))
 
 
 def grid(points: DataFrame, task: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -223,18 +248,28 @@ class Runner:
         for _, k, row in sorted(news, key=lambda x: x[:2]):
             streams[k][1](row)
 
+    def told(self) -> list[dict]:
+        """The fills the strategy was told of since the last call; trades, fills and decisions it knows are dropped."""
+        s, fills = self.sim, self.sim.fills[: self._seen[1]]
+        for rows, seen in zip((s.trades, s.fills, s.decisions), self._seen, strict=True):
+            del rows[:seen]
+        self._seen = [0, 0, 0]
+        return fills
+
 
 def strategy_runs(flow: DataFrame, make: Callable[[int], Strategy], config: Config) -> DataFrame:
     """flow(run, seq, ts_ns, side, price, qty): external flow per run through the user's strategy; its fills."""
     schema = "run long, visible_ts long, ref long, price_ticks long, qty long, seq long, side string, fee long"
+    fields = [c.split()[0] for c in schema.split(", ")][1:]
 
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        run = int(pdf["run"].iloc[0])
+    def go(rows: Iterator[dict]) -> Iterator[tuple]:
+        first, rows = _head(rows)
+        run = int(first["run"])
         strategy = make(run)
         runner = Runner(config, strategy)
         strategy.runner = runner
         was = 0
-        for m in pdf.sort_values("seq").to_dict("records"):
+        for m in rows:
             runner.advance(max(0, m["ts_ns"] - was))
             was = m["ts_ns"]
             if m["kind"] == "add":
@@ -242,9 +277,10 @@ def strategy_runs(flow: DataFrame, make: Callable[[int], Strategy], config: Conf
                 runner._tell()
             else:
                 runner.external(m["side"], m["price"], m["qty"])
-        return pd.DataFrame(runner.sim.fills, columns=["visible_ts", "ref", "price_ticks", "qty", "seq", "side", "fee"]).assign(run=run)[[c.split()[0] for c in schema.split(", ")]]
+            yield from ((run, *(f[k] for k in fields)) for f in runner.told())
+        yield from ((run, *(f[k] for k in fields)) for f in runner.sim.fills)
 
-    return flow.groupBy("run").applyInPandas(go, schema)
+    return folds.ordered(flow, ["run"], "seq", go, schema)
 
 
 def trace_digest(parts: Iterable[bytes]) -> str:
