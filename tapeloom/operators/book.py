@@ -70,8 +70,8 @@ class Book:
             self._enter(ref, side, qty, price)
         return error
 
-    def _outside(self, price: int) -> bool:
-        return self.low is not None and not self.low <= price < self.high
+    def _outside(self, price: int | None) -> bool:
+        return price is None or self.low is not None and not self.low <= price < self.high
 
     def _refuse_add(self, ref: int, qty: int, price: int) -> str:
         if ref == 0:
@@ -119,16 +119,17 @@ class Book:
         return "none"
 
     def apply(self, m: dict) -> str:
-        """A decoded message by its type; C changes the book as E does. Other types do nothing."""
-        kind = m["type"]
+        """A decoded message by its type; C changes the book as E does. Other types and messages without a reference do
+        nothing. A null price is outside, a null quantity or new reference is 0."""
+        kind = m["type"] if m["order_ref"] is not None else None
         if kind in ("A", "F"):
-            return self.add(m["order_ref"], m["side"], m["shares"], m["price"])
+            return self.add(m["order_ref"], m["side"], m["shares"] or 0, m["price"])
         if kind in ("E", "C", "X"):
-            return self.reduce(m["order_ref"], m["shares"])
+            return self.reduce(m["order_ref"], m["shares"] or 0)
         if kind == "D":
             return self.remove(m["order_ref"])
         if kind == "U":
-            return self.replace(m["order_ref"], m["new_ref"], m["shares"], m["price"])
+            return self.replace(m["order_ref"], m["new_ref"] or 0, m["shares"] or 0, m["price"])
         self.deltas = []
         return "none"
 

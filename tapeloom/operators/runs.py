@@ -194,15 +194,13 @@ def book_fold(messages: DataFrame, key: str = "locate", low: int | None = None,
     is the instrument; a constant key is one book of all instruments."""
     schema = f"{key} long, seq long, error string, best_bid long, best_ask long, live long"
 
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        book, out = Book(low, high), []
-        for m in pdf.sort_values("seq").to_dict("records"):
+    def go(rows: Iterator[dict]) -> Iterator[tuple]:
+        book = Book(low, high)
+        for m in rows:
             error = book.apply(m)
-            out.append((m[key], m["seq"], error, book.best("B"), book.best("S"), len(book.orders)))
-        done = pd.DataFrame(out, columns=[key, "seq", "error", "best_bid", "best_ask", "live"])
-        return done.astype({"best_bid": "Int64", "best_ask": "Int64"})
+            yield m[key], m["seq"], error, book.best("B"), book.best("S"), len(book.orders)
 
-    return messages.groupBy(key).applyInPandas(go, schema)
+    return folds.ordered(messages, [key], "seq", go, schema)
 
 
 class Strategy:
